@@ -62,40 +62,41 @@ def _conversation_lines(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select("role", one_line().alias("text"))
 
 
-TRANSITIONS = """seq AS (SELECT {keep} list_concat(list_concat(['<BOS>'], {tokens}), ['<EOS>']) AS s FROM {source}),
-steps AS (SELECT {keep} s, unnest(range(2, len(s) + 1)) AS i FROM seq),
-full_steps AS (SELECT {keep} list_slice(s, greatest(1, i - {order}), i - 1) AS context, s[i] AS next FROM steps)"""
-
-
-def _transitions(source: str, keep: str = "") -> str:
-    return TRANSITIONS.format(source=source, keep=keep, tokens=token_list(), order=ORDER)
+def _transitions(name: str, source: str, keep: str = "") -> str:
+    """Contexts of two tokens (fewer at the start, NULL as first) and the token that follows."""
+    return f"""{name}_seq AS (SELECT {keep} list_concat(list_concat(['<BOS>'], {token_list()}), ['<EOS>']) AS s,
+  row_number() OVER () AS seq FROM {source}),
+{name}_one AS (SELECT {keep} seq, unnest(s) AS next, generate_subscripts(s, 1) AS i FROM {name}_seq),
+{name}_lag AS (SELECT {keep} i, next, lag(next, 2) OVER w AS c2, lag(next, 1) OVER w AS c1
+  FROM {name}_one WINDOW w AS (PARTITION BY seq ORDER BY i)),
+{name} AS MATERIALIZED (SELECT {keep} coalesce(c2, '') AS c2, c1, next, COUNT(*) AS n FROM {name}_lag WHERE i > 1 GROUP BY ALL)"""
 
 
+# The same counts for contexts of length 2, 1 and 0; a missing token is an empty text.
 MODEL = f"""lines AS (SELECT replace(text, chr(10), ' ') AS text FROM documents),
-{_transitions("lines")},
-counted AS (SELECT context, next, COUNT(*) AS n FROM full_steps GROUP BY ALL),
-model AS (SELECT k AS length, list_slice(context, greatest(1, len(context) - k + 1), len(context)) AS context, next,
-  CAST(SUM(n) AS BIGINT) AS count FROM counted, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL)"""
+{_transitions("counted", "lines")},
+model AS MATERIALIZED (SELECT 2 AS length, c2, c1, next, n AS count FROM counted
+  UNION ALL SELECT 1, '', c1, next, CAST(SUM(n) AS BIGINT) FROM counted GROUP BY c1, next
+  UNION ALL SELECT 0, '', '', next, CAST(SUM(n) AS BIGINT) FROM counted GROUP BY next)"""
 
 SCORE = f"""WITH {MODEL},
 asked_lines AS (SELECT role, replace(text, chr(10), ' ') AS text FROM conversations),
-aseq AS (SELECT role, list_concat(list_concat(['<BOS>'], {token_list()}), ['<EOS>']) AS s FROM asked_lines),
-asteps AS (SELECT role, s, unnest(range(2, len(s) + 1)) AS i FROM aseq),
-asked AS (SELECT role, list_slice(s, greatest(1, i - {ORDER}), i - 1) AS context, s[i] AS next, COUNT(*) AS n FROM asteps GROUP BY ALL),
-totals AS (SELECT length, context, SUM(count) AS total FROM model GROUP BY ALL),
-known AS (SELECT COUNT(*) AS known FROM model WHERE length = 0),
-cases AS (SELECT role, context, next, n, k, list_slice(context, greatest(1, len(context) - k + 1), len(context)) AS c
-  FROM asked, (SELECT unnest([0, 1, 2]) AS k)),
-tried AS (SELECT role, cases.context, cases.next, n, k, (coalesce(m.count, 0) + 1) / (t.total + known.known) AS p
-  FROM cases JOIN totals t ON t.length = k AND t.context = c
-  LEFT JOIN model m ON m.length = k AND m.context = c AND m.next = cases.next, known),
-chosen AS (SELECT role, n, arg_max(p, k) AS p FROM tried GROUP BY role, context, next, n)
+{_transitions("asked", "asked_lines", "role,")},
+totals AS MATERIALIZED (SELECT length, c2, c1, SUM(count) AS total FROM model GROUP BY ALL),
+cases AS MATERIALIZED (SELECT role, c2, c1, next, n, c2 AS k2, c1 AS k1, 2 AS k FROM asked
+  UNION ALL SELECT role, c2, c1, next, n, '', c1, 1 FROM asked
+  UNION ALL SELECT role, c2, c1, next, n, '', '', 0 FROM asked),
+tried AS (SELECT role, s.c2, s.c1, s.next, n, k,
+    (coalesce(m.count, 0) + 1) / (t.total + (SELECT COUNT(*) FROM model WHERE length = 0)) AS p
+  FROM cases s JOIN totals t ON t.length = k AND t.c2 = k2 AND t.c1 = k1
+  LEFT JOIN model m ON m.length = k AND m.c2 = k2 AND m.c1 = k1 AND m.next = s.next),
+chosen AS (SELECT role, n, arg_max(p, k) AS p FROM tried GROUP BY role, c2, c1, next, n)
 SELECT role, CAST(SUM(n) AS BIGINT) AS n_tokens, ROUND(SUM(-ln(p) * n) / SUM(n), 6) AS mean_loss FROM chosen GROUP BY role"""
 
 
 def fitted(spark, sf) -> DataFrame:
     model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER)
-    return model.select("length", F.array_join("context", "\x1f").alias("context"), "next", "count")
+    return model.select("length", F.array_join("context", "").alias("context"), "next", "count")
 
 
 def scored(spark, sf) -> DataFrame:
@@ -192,8 +193,7 @@ ELSE 'holdout' END AS split FROM r""",
     ),
     "fit_ngram": (
         fitted,
-        f"""WITH {MODEL} SELECT CAST(length AS INTEGER) AS length, array_to_string(context, chr(31)) AS context, next, count
-FROM model""",
+        f"""WITH {MODEL} SELECT CAST(length AS INTEGER) AS length, c2 || c1 AS context, next, count FROM model""",
     ),
     "score_sequences": (scored, SCORE),
     "sample_sequences": (sampled, None),

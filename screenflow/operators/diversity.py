@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions.bits import tanimoto
+from screenflow.functions.literals import array_constant
 
 
 def _similarity(a: frozenset[int], b: frozenset[int]) -> float:
@@ -36,9 +37,7 @@ def diverse_pick(
     while len(accepted) < n and low < last_rank:
         rows = usable.where((F.col(rank) > low) & (F.col(rank) <= low + window))
         if accepted:
-            taken = spark.createDataFrame(
-                [([sorted(a[1]) for a in accepted],)], "sets array<array<int>>"
-            ).scalar()
+            taken = array_constant([sorted(a[1]) for a in accepted], "array<array<int>>")
             close = F.exists(
                 taken, lambda other: F.coalesce(tanimoto(F.col(bits), other), F.lit(0.0)) > max_similarity
             )

@@ -25,13 +25,12 @@ def transitions(df: DataFrame, text: str, order: int, keep: list[str] | None = N
     )
 
     def step(i: Column) -> Column:
-        start = F.greatest(F.lit(1), i - order)
-        return F.struct(
-            F.slice(F.col("s"), start, i - start).alias("context"),
-            F.element_at(F.col("s"), i).alias("next"),
-        )
+        # Neighbours are read by place: a slice would copy the whole text for every token. Places
+        # before BOS are NULL and fall away.
+        before = F.array_compact(F.array(*[F.get(F.col("s"), i - k) for k in range(order, 0, -1)]))
+        return F.struct(before.alias("context"), F.get(F.col("s"), i).alias("next"))
 
-    return ends.select(*keep, F.inline(F.transform(F.sequence(F.lit(2), F.size("s")), step)))
+    return ends.select(*keep, F.inline(F.transform(F.sequence(F.lit(1), F.size("s") - 1), step)))
 
 
 def _ending(context: Column, k: Column) -> Column:

@@ -111,17 +111,12 @@ def _front(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
     )
     point = F.struct("x", "y")
     pivots = points.agg(
-        F.array(
-            F.max_by(point, F.struct("x", "y")), F.max_by(point, F.struct("y", "x")), F.max_by(point, balance)
-        ).alias("pivots")
-    ).scalar()
-    beaten = F.exists(
-        pivots,
-        lambda p: (p["x"] >= F.col("x"))
-        & (p["y"] >= F.col("y"))
-        & ((p["x"] > F.col("x")) | (p["y"] > F.col("y"))),
-    )
-    left = points.where(~F.coalesce(beaten, F.lit(False)))
+        F.max_by(point, F.struct("x", "y")), F.max_by(point, F.struct("y", "x")), F.max_by(point, balance)
+    ).first()
+    left = points
+    for pivot in (p for p in pivots if p is not None):
+        at_least = (F.col("x") <= pivot["x"]) & (F.col("y") <= pivot["y"])
+        left = left.where(~(at_least & ((F.col("x") < pivot["x"]) | (F.col("y") < pivot["y"]))))
     # Copies of a point: only the first row can be on the front.
     left = left.groupBy("x", "y").agg(F.min(row_id).alias(row_id))
     scanned = running(left, [F.desc("x"), F.desc("y")], maxima={"best": "y"})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
+from screenflow.functions.literals import array_constant
 from screenflow.functions.ordering import global_rank
 from screenflow.functions.skew import salted_join
 from screenflow.operators.quality import describe
@@ -118,8 +119,7 @@ def decode(
     skip = [tx.PAD_ID, tx.BOS_ID] + ([tx.UNK_ID] if skip_unknown else [])
     names = _small(vocabulary, limit)
     if names is not None:
-        one = df.sparkSession.createDataFrame([(names,)], "names array<string>")
-        return df.withColumn(out, tx.decode(F.col(ids), one.scalar(), skip))
+        return df.withColumn(out, tx.decode(F.col(ids), array_constant(names, "array<string>"), skip))
     translated = _translate(df, ids, vocabulary.select("id", "token"), "id", "token", row_id)
     words = F.transform(tx.content_ids(F.col(ids), skip), lambda i: F.try_element_at(F.col("_map"), i))
     return translated.withColumn(out, F.array_join(words, "")).drop("_map")
