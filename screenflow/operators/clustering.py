@@ -32,38 +32,49 @@ def butina_clusters(
     visits = nodes.select(id).join(degrees, id, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     visits = materialize(global_rank(visits, [F.desc("degree"), tie], "visit"))
 
+    most = visits.agg(F.max("degree").alias("most")).first()["most"] or 0
+    degrees = visits.select("visit", "degree")
+
+    def touching(rows: DataFrame, marked: DataFrame, end: str, other: str, how: str) -> DataFrame:
+        """Join edges to marked rows at one end; if any row has very many edges, those are split."""
+        if most <= rows_per_task:
+            return rows.join(marked.withColumnRenamed("visit", end), end, how)
+        keyed = marked.join(degrees.withColumnRenamed("degree", "_degree"), "visit").withColumnRenamed("visit", end)
+        return salted_join(rows, keyed, [end], "_degree", [other], how, rows_per_task).drop("_degree")
+
     # Edges between visiting numbers, from the earlier to the later row.
-    places = visits.where("degree > 0")
-    for end, number in (("src", "a"), ("dst", "b")):
-        named = places.select(F.col(id).alias(end), F.col("visit").alias(number), F.col("degree").alias("_d"))
-        other = "dst" if end == "src" else "a"
-        edges = salted_join(edges, named, [end], "_d", [other], rows_per_task=rows_per_task).drop("_d", end)
-    forward = materialize(edges.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("later")))
+    places = visits.where("degree > 0").select(id, "visit", "degree")
+    ends = edges.select("src", "dst")
+    for end, number, other in (("src", "a", "dst"), ("dst", "b", "a")):
+        named = places.select(F.col(id).alias(end), F.col("visit").alias(number), F.col("degree").alias("_degree"))
+        if most > rows_per_task:
+            ends = salted_join(ends, named, [end], "_degree", [other], rows_per_task=rows_per_task)
+        else:
+            ends = ends.join(named, end)
+        ends = ends.drop("_degree", end)
+    forward = materialize(ends.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("later")))
 
-    open_nodes, live = visits.select("visit", "degree"), forward
-    centers = None
-    while open_nodes.limit(1).count():
-        blocked = live.select(F.col("later").alias("visit")).distinct()
-        new_centers = materialize(open_nodes.join(blocked, "visit", "left_anti"))
-        centers = new_centers if centers is None else centers.unionByName(new_centers)
-        taken = _touching(live, new_centers, "first", rows_per_task).select(F.col("later").alias("visit")).distinct()
-        taken = open_nodes.join(taken, "visit", "left_semi")
-        decided = materialize(new_centers.unionByName(taken))
-        open_nodes = materialize(open_nodes.join(decided, "visit", "left_anti"))
-        live = _touching(live, decided, "first", rows_per_task, without=True)
-        live = materialize(_touching(live, decided, "later", rows_per_task, without=True))
-    if centers is None:
-        return nodes.select(id).withColumns({"cluster_id": F.lit(0).cast("long"), "is_center": F.lit(True)})
+    # An edge is live while both its rows are open. A row that is nobody's later row has no open
+    # row before it, so it is a centre, and its later rows are members.
+    live, members = forward, None
+    while not live.isEmpty():
+        reached = live.select(F.col("later").alias("visit")).distinct()
+        heads = live.select(F.col("first").alias("visit")).distinct().join(reached, "visit", "left_anti")
+        taken = touching(live, heads, "first", "later", "left_semi").select(F.col("later").alias("visit")).distinct()
+        taken = materialize(taken)
+        members = taken if members is None else members.unionByName(taken)
+        rest = touching(live, taken, "later", "first", "left_anti")
+        live = materialize(touching(rest, taken, "first", "later", "left_anti"))
 
-    numbered = materialize(global_rank(centers, ["visit"], "cluster_id").withColumn("cluster_id", F.col("cluster_id") - 1))
+    centers = visits.select("visit")
+    if members is not None:
+        centers = centers.join(members, "visit", "left_anti")
+    numbered = global_rank(centers, ["visit"], "cluster_id").withColumn("cluster_id", F.col("cluster_id") - 1)
     # A member belongs to its earliest centre.
-    home = (
-        _touching(forward, numbered, "first", rows_per_task)
-        .groupBy(F.col("later").alias("visit"))
-        .agg(F.min("first").alias("center"))
-    )
+    of_centers = touching(forward, numbered.select("visit"), "first", "later", "left_semi")
+    home = of_centers.groupBy(F.col("later").alias("visit")).agg(F.min("first").alias("center"))
     own = numbered.select("visit", F.col("visit").alias("center"))
-    assigned = own.unionByName(home.join(numbered, "visit", "left_anti"))
+    assigned = own.unionByName(home)
     sizes = assigned.groupBy("center").agg(F.count(F.lit(1)).alias("_n"))
     named = numbered.select(F.col("visit").alias("center"), "cluster_id").join(sizes, "center")
     placed = salted_join(assigned, named, ["center"], "_n", ["visit"], rows_per_task=rows_per_task)
@@ -72,14 +83,6 @@ def butina_clusters(
     )
 
 
-def _touching(edges: DataFrame, marked: DataFrame, end: str, rows_per_task: int, without: bool = False) -> DataFrame:
-    """Edges whose `end` is in `marked` (or is not); the edges of a much connected row are split."""
-    keyed = marked.select(F.col("visit").alias(end), F.col("degree").alias("_d"))
-    other = "later" if end == "first" else "first"
-    how = "left_anti" if without else "left_semi"
-    return salted_join(edges, keyed, [end], "_d", [other], how, rows_per_task)
-
-
 def cluster_summary(clusters: DataFrame, cluster: str) -> DataFrame:
     """Number of clusters, size of the largest, median size, and how many have one row."""
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
