@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.session import spread
+
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 PATTERN = r"(\[[^\[\]]+\]|Br|Cl|Si|Se|@@?|%[0-9]{2}|[^\n])"
@@ -25,8 +27,13 @@ def one_line(column: str = "text") -> Column:
     return F.translate(F.col(column), "\n", " ")
 
 
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Whole texts for work that is heavy per row."""
+    return spread(table(spark, folder, "documents").select(*columns))
+
+
 def lines(spark: SparkSession, folder: str, name: str = "documents", id: str = "doc_id") -> DataFrame:
-    return table(spark, folder, name).select(id, one_line().alias("text"))
+    return spread(table(spark, folder, name).select(id, "text")).select(id, one_line().alias("text"))
 
 
 def lineitem_rows(spark: SparkSession, folder: str) -> DataFrame:

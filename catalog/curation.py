@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import LINEITEM_ROWS, Case, lineitem_rows, rounded, table, token_list
+from catalog.common import LINEITEM_ROWS, Case, documents, lineitem_rows, rounded, table, token_list
 from screenflow.operators import duplicates as dup
 from screenflow.operators import quality as q
 from screenflow.operators import sampling
@@ -42,8 +42,8 @@ def _count_words(row: dict) -> dict | None:
 
 
 def enrich(spark, sf) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    return q.enrich_rows(documents, _count_words, "n_blanks bigint, n_lines bigint").drop("text")
+    rows = documents(spark, sf, "doc_id", "text")
+    return q.enrich_rows(rows, _count_words, "n_blanks bigint, n_lines bigint").drop("text")
 
 
 def _curation_args() -> dict:
@@ -244,7 +244,7 @@ ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 10""",
         "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
     ),
     "text_structure": (
-        lambda spark, sf: q.text_structure(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text"),
+        lambda spark, sf: q.text_structure(documents(spark, sf, "doc_id", "text"), "text").drop("text"),
         TEXT_STRUCTURE,
     ),
     "empty_group_stats": (

@@ -10,6 +10,7 @@ from screenflow.functions.bits import token_bits
 from screenflow.functions.text import tokens
 from screenflow.operators import screening
 from screenflow.plans.ranking import rank_candidates
+from screenflow.session import materialize
 
 LIMITS = {"p_size": 25.0, "p_retailprice": 950.0}
 
@@ -61,7 +62,7 @@ fronted AS (SELECT *, coalesce(p_size > best, true) AS pareto_front FROM ordered
 
 
 def _fronted(spark, sf) -> DataFrame:
-    return screening.pareto_front(_scored(spark, sf), "p_retailprice", "p_size", "p_partkey")
+    return screening.pareto_front(materialize(_scored(spark, sf)), "p_retailprice", "p_size", "p_partkey")
 
 
 def _flagged(spark, sf) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import LINES, Case, lines, one_line, rounded, table, token_list
+from catalog.common import LINES, Case, documents, lines, one_line, rounded, table, token_list
 from screenflow.functions import text as tx
 from screenflow.operators import ngrams, sequences
 from screenflow.operators.sampling import split_exact
@@ -118,21 +118,21 @@ CAST(MAX(n) + 2 AS INTEGER) AS max_sequence_length FROM n"""
 
 CASES: dict[str, Case] = {
     "tokenize": (
-        lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t")).select(
+        lambda spark, sf: documents(spark, sf, "doc_id", "text").select("doc_id", tx.tokens(F.col("text")).alias("t")).select(
             "doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "\n")).alias("digest")
         ),
         f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, chr(10))) AS digest
 FROM (SELECT doc_id, {token_list()} AS t FROM documents)""",
     ),
     "tokenize_strict": (
-        lambda spark, sf: sequences.strict_split(table(spark, sf, "documents").select("doc_id", "text"), "text")[0].select(
+        lambda spark, sf: sequences.strict_split(documents(spark, sf, "doc_id", "text"), "text")[0].select(
             "doc_id", F.size("tokens").alias("n_tokens")
         ),
         f"""SELECT doc_id, CAST(len({token_list()}) AS INTEGER) AS n_tokens FROM documents
 WHERE array_to_string({token_list()}, '') = text""",
     ),
     "tokenize_strict_failures": (
-        lambda spark, sf: sequences.strict_split(table(spark, sf, "documents").select("doc_id", "text"), "text")[1].select("doc_id"),
+        lambda spark, sf: sequences.strict_split(documents(spark, sf, "doc_id", "text"), "text")[1].select("doc_id"),
         f"SELECT doc_id FROM documents WHERE coalesce(array_to_string({token_list()}, '') <> text, true)",
     ),
     "token_frequency": (

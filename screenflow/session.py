@@ -36,6 +36,15 @@ def _use_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table of only a few files out over all cores before work that is heavy per row.
+
+    A table with as many files as there are cores is left alone, so a large input is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from the written rows.
 
