@@ -96,13 +96,14 @@ def _translate(df: DataFrame, array: str, table: DataFrame, source: str, target:
 
     An element that many rows share is hot, so its rows are counted first and split in the join.
     """
-    pairs = df.select(row_id, F.explode(F.array_distinct(array)).alias(source))
-    counts = pairs.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    known = counts.join(table, source)
-    entries = salted_join(pairs, known, [source], "_n", [row_id])
-    maps = entries.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct(source, target))).alias("_map"))
+    pairs = df.select(F.col(row_id).alias("_row"), F.explode(F.array_distinct(array)).alias("_source"))
+    counts = pairs.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
+    renamed = table.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
+    entries = salted_join(pairs, counts.join(renamed, "_source"), ["_source"], "_n", ["_row"])
+    pair_list = F.collect_list(F.struct("_source", "_target"))  # at most one entry per element of the row's array
+    maps = entries.groupBy("_row").agg(F.map_from_entries(pair_list).alias("_map"))
     empty = F.map_from_arrays(F.array(), F.array())
-    joined = df.join(maps, row_id, "left")
+    joined = df.join(maps, F.col(row_id) == F.col("_row"), "left").drop("_row")
     return joined.withColumn("_map", F.coalesce("_map", empty.cast(maps.schema["_map"].dataType)))
 
 

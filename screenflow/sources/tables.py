@@ -9,25 +9,36 @@ from pyspark.sql import types as T
 from screenflow.operators.quality import nan_to_null
 
 
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+_NO_TEXT = "\x00"  # stands for NULL while reading, so that a quoted empty text is not taken for it
+
+
 def read_table(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | str | None = None,
     fmt: str = "csv",
     row_id: str | None = "row_id",
+    line_breaks: bool = False,
 ) -> DataFrame:
     """Read a table, NaN as NULL, with a `row_id` that follows the order of the files.
 
-    CSV has a header, keeps blanks at the end of a text and reads an empty field as NULL.
+    CSV has a header and keeps blanks at the ends of a text; an empty field is NULL, and an empty
+    text stands in quotes. `line_breaks` allows them inside a quoted text, at the price that one
+    task reads a whole file.
     JSON holds one value per file, possibly over several lines.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV table needs a schema")
-        reader = reader.options(
-            header=True, quote='"', escape='"', multiLine=True, ignoreTrailingWhiteSpace=False, enforceSchema=True
-        )
+        reader = reader.options(**_CSV, multiLine=line_breaks, nullValue=_NO_TEXT, emptyValue="")
     elif fmt == "json":
         reader = reader.option("multiLine", True)
     df = nan_to_null(reader.format(fmt).load(path))
@@ -54,7 +65,7 @@ def write_table(
     """Write a table; parent folders are made. An empty text survives in CSV."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.options(header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+        writer = writer.options(**_CSV, nullValue="", emptyValue='""')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
