@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenflow.functions.ordering import exact_quantiles, global_rank
 from screenflow.functions.skew import ROWS_PER_TASK, salted_join
 from screenflow.operators.quality import top_n
+from screenflow.operators.similarity import similar_pairs
 from screenflow.session import materialize
 
 
@@ -17,6 +18,7 @@ def butina_clusters(
     edges: DataFrame,
     later_ties_first: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
+    weight: str | None = None,
 ) -> DataFrame:
     """(id, cluster_id, is_center) for every node, given neighbour pairs (src, dst).
 
@@ -24,13 +26,27 @@ def butina_clusters(
     next centre and takes its free neighbours. Here, in rounds: a row becomes a centre once all
     its neighbours that come before it are known to be members; neighbours of centres are members.
     The outcome is the same. `later_ties_first`: of rows with equally many neighbours, the one with
-    the larger id goes first.
+    the larger id goes first. With `weight` (a column of `nodes`) a node stands for that many equal
+    rows, which count as neighbours of each other and of the node's neighbours.
     """
-    both = edges.select(F.col("src").alias(id)).unionAll(edges.select(F.col("dst").alias(id)))
+    both = edges.select(F.col("src").alias(id), F.col("dst").alias("_other")).unionAll(
+        edges.select(F.col("dst").alias(id), F.col("src").alias("_other"))
+    )
     degrees = both.groupBy(id).agg(F.count(F.lit(1)).alias("degree"))
-    tie = F.desc(id) if later_ties_first else F.asc(id)
     visits = nodes.select(id).join(degrees, id, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    visits = materialize(global_rank(visits, [F.desc("degree"), tie], "visit"))
+    if weight is None:
+        visits = visits.withColumn("_neighbours", F.col("degree"))
+    else:
+        weights = nodes.select(F.col(id).alias("_other"), F.col(weight).alias("_w"))
+        counted = weights.join(degrees.withColumnRenamed(id, "_other"), "_other")
+        around = salted_join(both, counted, ["_other"], "degree", [id], rows_per_task=rows_per_task)
+        around = around.groupBy(id).agg(F.sum("_w").alias("_around"))
+        own = weights.withColumnRenamed("_other", id)
+        visits = visits.join(around, id, "left").join(own, id)
+        visits = visits.withColumn("_neighbours", F.coalesce("_around", F.lit(0)) + F.col("_w") - 1)
+    tie = F.desc(id) if later_ties_first else F.asc(id)
+    visits = global_rank(visits.select(id, "degree", "_neighbours"), [F.desc("_neighbours"), tie], "visit")
+    visits = materialize(visits.drop("_neighbours"))
 
     most = visits.agg(F.max("degree").alias("most")).first()["most"] or 0
     degrees = visits.select("visit", "degree")
@@ -83,6 +99,39 @@ def butina_clusters(
     )
 
 
+def cluster_fingerprints(
+    df: DataFrame,
+    id: str,
+    bits: str,
+    max_distance: float = 0.60,
+    later_ties_first: bool = True,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """(id, cluster_id) for rows with fingerprints: neighbours are at most `max_distance` apart.
+
+    Rows with equal fingerprints have the same neighbours and always share a cluster, so each
+    fingerprint is clustered once, by its first visited row and weighted with its number of rows.
+    However many copies there are, no pairs of copies are made. A row with an empty fingerprint is
+    a cluster of its own.
+    """
+    first = F.max(id) if later_ties_first else F.min(id)
+    copies = df.where(F.size(bits) > 0).groupBy(F.col(bits).alias("_bits")).agg(
+        first.alias("_node"), F.count(F.lit(1)).alias("_copies")
+    )
+    copies = materialize(copies)
+    alone = df.where(F.coalesce(F.size(bits), F.lit(0)) <= 0).select(
+        F.col(id).alias("_node"), F.lit(1).cast("long").alias("_copies")
+    )
+    nodes = copies.select("_node", "_copies").unionByName(alone)
+    pairs = materialize(similar_pairs(copies, "_node", "_bits", max_distance))
+    clusters = butina_clusters(nodes, "_node", pairs, later_ties_first, rows_per_task, weight="_copies")
+    named = copies.join(clusters.select("_node", "cluster_id"), "_node").select("_bits", "_copies", "cluster_id")
+    rows = df.where(F.size(bits) > 0).select(id, F.col(bits).alias("_bits"))
+    placed = salted_join(rows, named, ["_bits"], "_copies", [id], rows_per_task=rows_per_task)
+    single = alone.select("_node").join(clusters, "_node").select(F.col("_node").alias(id), "cluster_id")
+    return placed.select(id, "cluster_id").unionByName(single)
+
+
 def cluster_summary(clusters: DataFrame, cluster: str) -> DataFrame:
     """Number of clusters, size of the largest, median size, and how many have one row."""
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))

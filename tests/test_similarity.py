@@ -62,7 +62,9 @@ def test_nearest_equals_brute_force(spark, width, size):
     rows = fingerprints(80, width, size, seed=3)
     asked = {k: v for k, v in rows.items() if k >= 40}
     asked[999] = [width + 50]  # no bit in common with anything
-    known = {k: v for k, v in rows.items() if k < 40}
+    asked.update({500 + i: asked[41] for i in range(30)})
+    rows.update({100 + i: rows[5] for i in range(30)})
+    known = {k: v for k, v in rows.items() if k < 40 or k >= 100}
     found = sim.nearest_reference(frame(spark, asked), "id", frame(spark, known), "id", "id", block_rows=9).collect()
     assert len(found) == len(asked)
     for row in found:
@@ -99,6 +101,16 @@ def test_clusters_equal_the_sequential_walk(spark, later_first, rows_per_task, s
     assert sum(r.is_center for r in found) == len({r.cluster_id for r in found})
 
 
+@pytest.mark.parametrize("later_first", [True, False])
+def test_copies_are_clustered_like_single_rows(spark, later_first):
+    rows = fingerprints(60, 50, 8, seed=8)
+    rows = {i: (rows[3] if i % 3 == 0 else rows[i]) for i in rows}  # a third are copies
+    edges = brute_pairs(rows, 0.6)
+    found = clustering.cluster_fingerprints(frame(spark, rows), "id", "bits", 0.6, later_first, rows_per_task=4).collect()
+    assert len(found) == len(rows)
+    assert {r.id: r.cluster_id for r in found} == sequential_clusters(list(rows), edges, later_first)
+
+
 def test_rows_without_neighbours_are_clusters(spark):
     nodes = spark.range(3)
     none = spark.createDataFrame([], "src long, dst long")
