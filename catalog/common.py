@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.functions.text import TOKEN_PATTERN
 from screenflow.session import spread
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
-PATTERN = r"(\[[^\[\]]+\]|Br|Cl|Si|Se|@@?|%[0-9]{2}|[^\n])"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -54,4 +53,4 @@ LINES = "lines AS (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM docum
 
 
 def token_list(text: str = "text") -> str:
-    return f"regexp_extract_all({text}, '{PATTERN}', 1)"
+    return f"regexp_extract_all({text}, '{TOKEN_PATTERN}', 1)"

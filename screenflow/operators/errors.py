@@ -10,6 +10,7 @@ from screenflow.functions.skew import salted_join
 from screenflow.functions.stats import correlation_p_value
 from screenflow.operators.models import join_one_to_one
 from screenflow.operators.quality import top_n
+from screenflow.session import materialize
 
 
 def compare_models(
@@ -35,9 +36,8 @@ def spearman(df: DataFrame, x: str, y: str, p_value: bool = True) -> DataFrame:
 
     Equal (x, y) pairs are counted together before they are joined to their ranks.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).alias("x"), F.col(y).alias("y")
-    ).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = materialize(known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))  # read for both ranks and the sums
 
     def ranks(column: str) -> DataFrame:
         repeated = pairs.groupBy(column).agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("_pairs"))

@@ -70,14 +70,19 @@ def score_sequences(df: DataFrame, text: str, model: DataFrame, split: str, orde
     totals = model.groupBy("length", "context").agg(F.sum("count").alias("total"))
     known = model.where("length = 0").agg(F.count(F.lit(1)).alias("known")).scalar()
     joined = asked
-    for k in range(order, -1, -1):
+    for k in range(order, 0, -1):
         seen = totals.where(F.col("length") == k).select(
             F.col("context").alias(f"c{k}"), F.col("total").alias(f"total{k}")
         )
         hits = model.where(F.col("length") == k).select(
             F.col("context").alias(f"c{k}"), "next", F.col("count").alias(f"count{k}")
         )
-        joined = joined.withColumn(f"c{k}", _ending(F.col("context"), F.lit(k))).join(seen, f"c{k}", "left").join(hits, [f"c{k}", "next"], "left")
+        joined = joined.withColumn(f"c{k}", _ending(F.col("context"), F.lit(k))).join(seen, f"c{k}", "left")
+        joined = joined.join(hits, [f"c{k}", "next"], "left")
+    # The empty context is one row for everything: its total is a constant, not a join key.
+    single = model.where("length = 0")
+    joined = joined.join(single.select("next", F.col("count").alias("count0")), "next", "left")
+    joined = joined.withColumn("total0", single.agg(F.sum("count").alias("total")).scalar())
     probability = F.lit(None).cast("double")
     for k in range(order + 1):
         smoothed = (F.coalesce(F.col(f"count{k}"), F.lit(0)) + 1) / (F.col(f"total{k}") + known)
