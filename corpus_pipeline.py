@@ -2,6 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CASES: dict = {}
+from screenflow.llm.decontamination import drop_contaminated
+from screenflow.llm.language import keep_known
+from screenflow.llm.pii import redact_pii
+from screenflow.llm.sentencepiece_codec import decode_pieces, encode_pieces
+from screenflow.llm.simhash import keep_one
+from screenflow.session import materialize
+
+LEAST_SCORE = 0.2  # below it a text is in none of the learned languages
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in one of the languages that the labels name; those without letters go."""
+    return keep_known(docs, LEAST_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest id."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of test items."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by the names of its kinds."""
+    return redact_pii(docs, length="n_chars")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, checked by decoding: `exact` tells whether the text comes back."""
+    coded = encode_pieces(docs, PIECE_MODEL)
+    back = decode_pieces(coded, PIECE_MODEL, name="decoded")
+    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return back.select(*docs.columns, F.size("piece_ids").alias("n_tokens"), "piece_ids", exact.alias("exact"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pii", pii),
+    ("encode", encode),
+]
+
+ORACLE_SQL = None  # no stage but the third can be put in SQL; tests hold run() against a plain version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each one keeps is written to the shared checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+CASES = {"pipeline": (run, ORACLE_SQL)}

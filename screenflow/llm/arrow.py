@@ -12,6 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS_PER_SLICE = 512  # Python objects of at most so many texts are alive at once
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame, column: str, fields: dict[str, T.DataType], work: Callable[[pa.Array], list[list]], drop: bool = False
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenflow.llm.arrow import append_columns
+from screenflow.llm.arrow import append_columns, unused
 
 WINDOW = 10
 MAX_BYTES = 4 << 20  # test text that one automaton may hold (some hundred MB as an automaton); more is an error
@@ -168,7 +168,7 @@ def contamination_digest(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents without any window of a test item, with their columns as they are."""
-    items, mark = load_items(benchmark), "_contaminated"
+    items, mark = load_items(benchmark), unused(docs, "_contaminated")
 
     def work(column):
         automaton = _automaton(items, size)

@@ -7,7 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from screenflow.llm import chat as windows
+from screenflow.llm import licenses as scans
+from screenflow.llm import sharding as tree
 from screenflow.llm.decontamination import contamination_digest
+from screenflow.llm.language import language_digest
+from screenflow.llm.neighbours import nearest
 from screenflow.llm.pii import pii_digest
 from screenflow.llm.sentencepiece_codec import codec_digest
 from screenflow.llm.simhash import near_duplicates
@@ -25,26 +30,161 @@ def pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(table(spark, folder, "documents"))
 
 
+def sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Where does each document go, and where would it go with one more shard?"""
+    return tree.shard_documents(table(spark, folder, "documents"), 8)
+
+
 def codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of each text under the piece vocabulary, and the text they decode to."""
     return codec_digest(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Which texts hold license phrases or notices?"""
+    return scans.license_digest(table(spark, folder, "documents"))
+
+
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many tokens does each text have?"""
     return count_tokens(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    """What comes back from the formatted conversations, one of them made of control strings?"""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], given.schema)
+    return windows.chat_digest(given.union(added))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Which texts hold passages of test items?"""
     return contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    """Which language is each text in?"""
+    return language_digest(table(spark, folder, "documents"))
+
+
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Which texts are near copies of each other?"""
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Which vectors are nearest to each query vector?"""
+    return nearest(table(spark, folder, "embeddings"))
+
+
+def _values(rows) -> str:
+    return ", ".join(f"({', '.join(repr(x) for x in row)})" for row in rows)
+
+
+def _tree_sql(shards: int, name: str) -> str:
+    """CTEs that place every id level by level in the standard tree."""
+    parts, before = [], "(SELECT doc_id, key, '' AS node FROM keys)"
+    for depth, level in enumerate(tree._levels(tree.standard_tree(shards))):
+        own = f"{name}_{depth}"
+        parts.append(
+            f"""{own} AS (
+  SELECT doc_id, key, max(struct_pack(d := ln((('0x' || md5(key || ':' || n.node)[1:13])::BIGINT + 1)
+                                              / 4503599627370496.0) / n.weight, node := n.node)).node AS node
+  FROM {before} AS b JOIN (VALUES {_values(level)}) AS n(parent, node, weight) ON n.parent = b.node
+  GROUP BY doc_id, key)"""
+        )
+        before = own
+    return ",\n".join(parts)
+
+
+SHARDING_SQL = f"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+              ORDER BY i) AS t FROM range(256) r(i)),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), x -> ('0x' || x)::BIGINT),
+                         (c, b) -> xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM documents, crc),
+keys AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+{_tree_sql(8, "now")},
+{_tree_sql(9, "grown")},
+placed AS (
+  SELECT n.doc_id, n.key, CAST(split_part(n.node, '/', 3) AS INTEGER) AS shard,
+         CAST(split_part(g.node, '/', 3) AS INTEGER) AS grown_shard
+  FROM now_2 n JOIN grown_2 g ON n.key = g.key)
+SELECT s.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(key)[1:8])::BIGINT % {tree.BUCKETS},
+                               s.doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
+FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
+"""
+
+LICENSES_SQL = f"""
+WITH notices AS (
+  SELECT * FROM (VALUES {", ".join(f"({label!r}, {w!r}, {scans.needed(len(w), scans.THRESHOLD)})" for label, w in scans.notice_words())})
+  AS n(label, w, need)),
+words AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         coalesce(regexp_extract_all(translate(text, '{scans.UPPER}', '{scans.LOWER}'), '{scans.WORD}'), []) AS w
+  FROM documents),
+places AS (SELECT k, w, unnest(generate_series(1, len(w))) AS p FROM words WHERE list_contains(w, 'license')),
+phrases AS (
+  SELECT k, p - 1 AS p, 'mit' AS label FROM places WHERE w[p] = 'mit' AND w[p + 1] = 'license'
+  UNION ALL SELECT k, p - 1, 'apache' FROM places WHERE w[p] = 'apache' AND w[p + 1] = 'license'
+  UNION ALL SELECT k, p - 1, 'gpl' FROM places WHERE w[p] = 'general' AND w[p + 1] = 'public' AND w[p + 2] = 'license'),
+base AS (
+  SELECT k, count(*) AS n, min(p) AS low, max(p) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM phrases GROUP BY k),
+blocks AS (
+  SELECT k, unnest(list_transform(generate_series(0, len(w) - 1, {scans.block_size(scans.notice_words())[1]}),
+                                  s -> w[s + 1 : s + {scans.block_size(scans.notice_words())[0]}])) AS b
+  FROM words WHERE len(w) > 0),
+hits AS (
+  SELECT k, label, max(len(list_intersect(b, w)) / len(w)) AS containment
+  FROM blocks, notices WHERE len(list_intersect(b, w)) >= need GROUP BY k, label),
+labels AS (
+  SELECT k, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT k, label FROM hits UNION SELECT k, label FROM phrases) GROUP BY k),
+best AS (SELECT k, max(containment) AS c FROM hits GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
+       CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(base.labels, '') AS base_labels,
+       coalesce(labels.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
+FROM words LEFT JOIN base USING (k) LEFT JOIN labels USING (k) LEFT JOIN best USING (k)
+"""
+
+CHAT_SQL = f"""
+WITH given AS (
+  SELECT conv_id AS c, turn AS t, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')),
+sized AS (
+  SELECT *, len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) + {windows.MARKS} AS n,
+         6 + length(regexp_replace(r, '([\\\\<\\[\\]])', '\\1\\1', 'g')) + length(regexp_replace(x, '([\\\\<\\[])', '\\1\\1', 'g')) AS size
+  FROM given),
+ordered AS (
+  SELECT *, row_number() OVER o AS p, sum(n) OVER o - n AS at FROM sized
+  WINDOW o AS (PARTITION BY c ORDER BY t NULLS FIRST, r, x ROWS UNBOUNDED PRECEDING)),
+spans AS (SELECT c, CAST(at AS BIGINT) // {windows.BUDGET} AS b, min(at) AS low FROM ordered GROUP BY ALL),
+followed AS (SELECT *, lead(low) OVER (PARTITION BY c ORDER BY b) AS next FROM spans),
+opening AS (SELECT c, size FROM ordered WHERE p = 1 AND r = 'system'),
+repeats AS (
+  SELECT o.c, sum(o.size) AS size FROM ordered o
+  JOIN followed f ON o.c IS NOT DISTINCT FROM f.c AND CAST(o.at AS BIGINT) // {windows.BUDGET} = f.b
+  WHERE o.at >= f.next - {windows.HISTORY} AND NOT (o.p = 1 AND o.r = 'system') GROUP BY o.c),
+total AS (
+  SELECT c, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY p)) AS turns_sha256,
+         coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS loss_chars,
+         sha256(coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256, sum(size) AS size
+  FROM ordered GROUP BY c),
+counted AS (SELECT c, count(*) AS n FROM spans GROUP BY c)
+SELECT t.c AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
+       CAST(3 * k.n + t.size + coalesce(r.size, 0) + (k.n - 1) * coalesce(o.size, 0) AS BIGINT) AS formatted_chars
+FROM total t JOIN counted k ON t.c IS NOT DISTINCT FROM k.c LEFT JOIN repeats r ON t.c IS NOT DISTINCT FROM r.c
+LEFT JOIN opening o ON t.c IS NOT DISTINCT FROM o.c
+"""
+
 DECONTAMINATION_SQL = """
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
@@ -81,8 +221,13 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pii": (pii, None),
+    "op2_sharding": (sharding, SHARDING_SQL),
     "op3_pieces": (codec, None),
+    "op4_licenses": (licenses, LICENSES_SQL),
     "op5_token_counts": (token_counts, None),
+    "op6_chat": (chat, CHAT_SQL),
     "op7_decontamination": (decontamination, DECONTAMINATION_SQL),
+    "op8_language": (language, None),
     "op9_simhash": (near_dedup, None),
+    "op10_neighbours": (neighbours, None),
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenflow.llm.arrow import append_columns
+from screenflow.llm.arrow import append_columns, unused
 from screenflow.llm.components import connected_components
 from screenflow.session import materialize
 
@@ -198,15 +198,15 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance:
     Of repeated rows of that id one stays (the same fingerprint, whichever is met first). In a group
     without ids one document stays.
     """
-    mark, wanted = "_fingerprint", "_wanted"
+    mark, kept_print, wanted = (unused(docs, name) for name in ("_fingerprint", "_kept", "_wanted"))
     marked = with_fingerprint(docs, text, mark)
     prints = materialize(marked.select(id, F.col(mark).alias("fingerprint")))
     kept = (
         _labelled(prints, id, distance)
         .where(F.col("first").eqNullSafe(F.col("component_id")))
-        .select(F.col("fingerprint").alias("_kept"), F.col("first").alias(wanted))
+        .select(F.col("fingerprint").alias(kept_print), F.col("first").alias(wanted))
     )
-    one = kept.groupBy(wanted).agg(F.min("_kept").alias("_kept"))
-    same = (F.col(mark) == F.col("_kept")) & F.col(id).eqNullSafe(F.col(wanted))
-    survivors = marked.join(one, same).drop("_kept", wanted)
+    one = kept.groupBy(wanted).agg(F.min(kept_print).alias(kept_print))
+    same = (F.col(mark) == F.col(kept_print)) & F.col(id).eqNullSafe(F.col(wanted))
+    survivors = marked.join(one, same).drop(kept_print, wanted)
     return survivors.dropDuplicates([mark, id]).select(*docs.columns)
