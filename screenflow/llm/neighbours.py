@@ -173,8 +173,8 @@ def _blocks(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, co
         # Which block a row falls into does not matter, only that blocks are even.
         return df.select(
             "vec_id", "vec", F.lit(is_query).alias("is_query"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long").alias(other),
+            F.pmod(F.xxhash64("vec_id"), F.lit(n_own).cast("long")).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
         )
 
     both = dealt(rows, "rb", row_blocks, "qb", query_blocks, False).unionByName(

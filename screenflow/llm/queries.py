@@ -102,12 +102,12 @@ def _tree_sql(shards: int, name: str) -> str:
 
 SHARDING_SQL = f"""
 WITH crc AS (
-  SELECT list(list_reduce(range(8), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
               ORDER BY i) AS t FROM range(256) r(i)),
 sized AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
-         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), x -> ('0x' || x)::BIGINT),
-                         (c, b) -> xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32
   FROM documents, crc),
 keys AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
 {_tree_sql(8, "now")},
@@ -140,7 +140,7 @@ base AS (
   FROM phrases GROUP BY k),
 blocks AS (
   SELECT k, unnest(list_transform(generate_series(0, len(w) - 1, {scans.block_size(scans.notice_words())[1]}),
-                                  s -> w[s + 1 : s + {scans.block_size(scans.notice_words())[0]}])) AS b
+                                  lambda s: w[s + 1 : s + {scans.block_size(scans.notice_words())[0]}])) AS b
   FROM words WHERE len(w) > 0),
 hits AS (
   SELECT k, label, max(len(list_intersect(b, w)) / len(w)) AS containment
@@ -164,15 +164,15 @@ sized AS (
          6 + length(regexp_replace(r, '([\\\\<\\[\\]])', '\\1\\1', 'g')) + length(regexp_replace(x, '([\\\\<\\[])', '\\1\\1', 'g')) AS size
   FROM given),
 ordered AS (
-  SELECT *, row_number() OVER o AS p, sum(n) OVER o - n AS at FROM sized
+  SELECT *, row_number() OVER o AS p, sum(n) OVER o - n AS start FROM sized
   WINDOW o AS (PARTITION BY c ORDER BY t NULLS FIRST, r, x ROWS UNBOUNDED PRECEDING)),
-spans AS (SELECT c, CAST(at AS BIGINT) // {windows.BUDGET} AS b, min(at) AS low FROM ordered GROUP BY ALL),
+spans AS (SELECT c, CAST(start AS BIGINT) // {windows.BUDGET} AS b, min(start) AS low FROM ordered GROUP BY ALL),
 followed AS (SELECT *, lead(low) OVER (PARTITION BY c ORDER BY b) AS next FROM spans),
 opening AS (SELECT c, size FROM ordered WHERE p = 1 AND r = 'system'),
 repeats AS (
   SELECT o.c, sum(o.size) AS size FROM ordered o
-  JOIN followed f ON o.c IS NOT DISTINCT FROM f.c AND CAST(o.at AS BIGINT) // {windows.BUDGET} = f.b
-  WHERE o.at >= f.next - {windows.HISTORY} AND NOT (o.p = 1 AND o.r = 'system') GROUP BY o.c),
+  JOIN followed f ON o.c IS NOT DISTINCT FROM f.c AND CAST(o.start AS BIGINT) // {windows.BUDGET} = f.b
+  WHERE o.start >= f.next - {windows.HISTORY} AND NOT (o.p = 1 AND o.r = 'system') GROUP BY o.c),
 total AS (
   SELECT c, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY p)) AS turns_sha256,
          coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS loss_chars,
