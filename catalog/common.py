@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenflow.functions.text import TOKEN_PATTERN
-from screenflow.session import spread
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -28,11 +27,11 @@ def one_line(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Whole texts for work that is heavy per row."""
-    return spread(table(spark, folder, "documents").select(*columns))
+    return table(spark, folder, "documents").select(*columns)
 
 
 def lines(spark: SparkSession, folder: str, name: str = "documents", id: str = "doc_id") -> DataFrame:
-    return spread(table(spark, folder, name).select(id, "text")).select(id, one_line().alias("text"))
+    return table(spark, folder, name).select(id, one_line().alias("text"))
 
 
 def lineitem_rows(spark: SparkSession, folder: str) -> DataFrame:

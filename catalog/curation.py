@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.common import LINEITEM_ROWS, Case, documents, lineitem_rows, rounded, table, token_list
 from screenflow.operators import duplicates as dup
 from screenflow.operators import quality as q
 from screenflow.operators import sampling
-from screenflow.sources.tables import read_table, select_rename
+from screenflow.session import shared_folder
+from screenflow.sources.tables import read_table, select_rename, write_by_split, write_table
 
 KEYS = ["l_partkey", "l_suppkey"]
 LIMIT = 0.03
@@ -131,11 +134,39 @@ SELECT g AS n_generated, v AS n_valid, ROUND(CASE WHEN g > 0 THEN v / g ELSE 0.0
   ROUND(CASE WHEN v > 0 THEN d / v ELSE 0.0 END, 6) AS uniqueness, n AS n_novel,
   ROUND(CASE WHEN d > 0 THEN n / d ELSE 0.0 END, 6) AS novelty FROM c"""
 
+def _with_day(orders: DataFrame) -> DataFrame:
+    """The time of an order as text, so that no client's time zone matters."""
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _written_and_read(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
+    """All orders written to the shared folder and read back."""
+    orders = table(spark, sf, "orders")
+    folder = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    write_table(orders, folder, fmt)
+    return read_table(spark, folder, orders.schema, fmt, row_id=None)
+
+
+def _by_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in one folder per language; one language read back from its own folder."""
+    docs = table(spark, sf, "documents")
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    write_by_split(docs, folder, "lang")
+    return read_table(spark, folder, fmt="parquet", row_id=None).where("lang = 'en'").select(*docs.columns)
+
+
+ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+o_orderpriority FROM orders"""
+BY_SPLIT = "SELECT * FROM documents WHERE lang = 'en'"
+
 CASES: dict[str, Case] = {
     "read_table": (
-        lambda spark, sf: read_table(spark, f"{sf}/orders.parquet", fmt="parquet", row_id=None).drop("o_orderdate"),
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+        lambda spark, sf: _with_day(read_table(spark, f"{sf}/orders.parquet", fmt="parquet", row_id=None)),
+        ORDERS,
     ),
+    "write_read_csv": (lambda spark, sf: _with_day(_written_and_read(spark, sf, "csv")), ORDERS),
+    "write_read_json": (lambda spark, sf: _with_day(_written_and_read(spark, sf, "json")), ORDERS),
+    "write_by_split": (_by_split, BY_SPLIT),
     "select_rename": (
         lambda spark, sf: select_rename(
             table(spark, sf, "lineitem"), {"L_PARTKEY": "part", "L_SUPPKEY": "supplier", "L_TAX": "tax"}, ignore_case=True
@@ -191,8 +222,8 @@ COUNT(*) FILTER (quality IS NULL OR quality <> 1) AS n_invalid FROM labelled""",
     "quarantine": (
         lambda spark, sf: sampling.tagged_union(
             dict(zip(("good", "bad"), q.quarantine(_labelled(spark, sf), F.col("quality") == 1))), tag="part"
-        ).drop("source"),
-        f"""WITH {LABELLED} SELECT doc_id, lang, quality, toxic,
+        ),
+        f"""WITH {LABELLED} SELECT doc_id, lang, source, quality, toxic,
 CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS part FROM labelled""",
     ),
     "drop_missing": (

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it has more than ROWS_PER_TASK rows and more than 1/MAX_HOT_KEYS of all rows.
-# The second bound means there are never more than MAX_HOT_KEYS hot keys, so they can be broadcast.
+# A key is hot when it has more than ROWS_PER_TASK rows, whatever the size of the table. There is at
+# most one hot key per ROWS_PER_TASK rows, so the table of hot keys is a millionth of the rows.
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 100_000
-
-
-def hot_limit(keyed: DataFrame, count: str, rows_per_task: int = ROWS_PER_TASK) -> Column:
-    """Row count above which a key counts as hot; `keyed` has one row per key with its count."""
-    share = keyed.agg((F.sum(count) / MAX_HOT_KEYS).alias("share")).scalar()
-    return F.greatest(F.lit(float(rows_per_task)), F.coalesce(share, F.lit(0.0)))
 
 
 def hot_keys(keyed: DataFrame, on: list[str], count: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The hot keys (at most MAX_HOT_KEYS) and into how many parts each is to be split."""
-    limit = hot_limit(keyed, count, rows_per_task)
-    parts = F.ceil(F.col(count) / limit).cast("int")
-    return keyed.where(F.col(count) > limit).select(*on, parts.alias("_parts"))
+    """The hot keys and into how many parts each is to be split."""
+    parts = F.ceil(F.col(count) / rows_per_task).cast("int")
+    return keyed.where(F.col(count) > rows_per_task).select(*on, parts.alias("_parts"))
 
 
 def salted_join(
@@ -37,11 +29,17 @@ def salted_join(
 
     The rows of a hot key are spread over several tasks by a hash of `salt_by`, and its one row of
     `keyed` is repeated once per part. All other keys take part in the same shuffle with salt 0.
+    Rows with a NULL key match nothing, so their salt is the hash itself and they spread freely.
     `how` is inner, left, left_semi or left_anti.
     """
     hot = F.broadcast(hot_keys(keyed, on, count, rows_per_task))
-    salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*salt_by), F.col("_parts")).cast("int")
+    spreading = F.xxhash64(*salt_by)
+    no_key = F.greatest(*[F.col(c).isNull() for c in on]) if len(on) > 1 else F.col(on[0]).isNull()
+    salt = (
+        F.when(no_key, F.pmod(spreading, F.lit(2**31 - 1)))
+        .when(F.col("_parts").isNull(), F.lit(0))
+        .otherwise(F.pmod(spreading, F.col("_parts")))
+        .cast("int")
     )
     spread = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
     repeated = keyed.join(hot, on, "left").withColumn(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenflow.functions.skew import ROWS_PER_TASK, hot_limit, salted_join
+from screenflow.functions.skew import ROWS_PER_TASK, salted_join
 
-LIST_LIMIT = 10_000  # a merged key's ids are written as one text only up to this many rows
 COUNT = "_n_rows"
 
 
@@ -41,8 +40,9 @@ def duplicate_summary(df: DataFrame, key: str) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
-def _stats(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def _stats(df: DataFrame, keys: list[str], label: str, *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
+        *more,
         F.count(F.lit(1)).alias(COUNT),
         F.count(label).alias("n_labels"),
         F.avg(label).alias("label_mean"),
@@ -66,7 +66,7 @@ def duplicate_label_summary(df: DataFrame, keys: list[str], label: str) -> DataF
     ).orderBy(F.desc("range"), *keys)
 
 
-def _decided(df: DataFrame, keys: list[str], label: str, max_range: float) -> DataFrame:
+def _decided(df: DataFrame, keys: list[str], label: str, max_range: float, *more: Column) -> DataFrame:
     """One row per key with its label range and what is done with it."""
     spread = F.col("label_max") - F.col("label_min")
     agrees = F.coalesce(spread <= max_range, F.lit(False))
@@ -75,60 +75,33 @@ def _decided(df: DataFrame, keys: list[str], label: str, max_range: float) -> Da
         .when(agrees, "aggregate_duplicates")
         .otherwise("exclude_conflicting_duplicate")
     )
-    return _stats(df.dropna(subset=keys), keys, label).withColumns(
+    return _stats(df.dropna(subset=keys), keys, label, *more).withColumns(
         {"label_range": F.when(F.col(COUNT) == 1, F.lit(0.0)).otherwise(spread), "action": action}
     )
 
 
 def curate_duplicates(
-    df: DataFrame,
-    keys: list[str],
-    label: str,
-    id: str,
-    text: str,
-    row_id: str,
-    max_range: float = 0.30,
-    list_limit: int = LIST_LIMIT,
+    df: DataFrame, keys: list[str], label: str, id: str, text: str, row_id: str, max_range: float = 0.30
 ) -> DataFrame:
     """One row per key whose labels agree: the row itself, or the mean of its copies.
 
     A key is kept when its labels differ by at most `max_range`; ids are joined in row order, and
     each text once, where it was first seen. Keys with other rows are left out (`conflict_rows`
-    has them). `ids` and `texts` are NULL for a key of more than `list_limit` rows: such a list
-    does not belong in one cell, and `merged_members` gives it as rows.
+    has them). The result's definition puts all ids of a key into one cell; where a key's list is
+    too long for that, `curation_log` with `merged_members` has the same as rows.
     """
-    decided = _decided(df, keys, label, max_range)
-    kept = decided.where("action != 'exclude_conflicting_duplicate'")
-    # At most MAX_HOT_KEYS keys lie above the limit. Their rows never reach the list below.
-    crowded = decided.where(F.col(COUNT) > hot_limit(decided, COUNT, list_limit)).select(*keys)
-    members = (
-        df.join(F.broadcast(crowded), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(F.col(row_id), F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-                )
-            ).alias("_members"),
-        )
-        .select(
-            *keys,
-            F.col("_members")[0][row_id].alias("first_row"),
-            F.array_join(F.col("_members.id"), "|").alias("ids"),
-            F.array_join(F.array_distinct("_members.text"), "|").alias("texts"),
-        )
-    )
-    listed = F.col(COUNT) <= list_limit
-    return kept.join(members, keys, "left").select(
+    member = F.struct(F.col(row_id), F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
+    decided = _decided(df, keys, label, max_range, F.array_sort(F.collect_list(member)).alias("_members"))
+    return decided.where("action != 'exclude_conflicting_duplicate'").select(
         *keys,
-        F.when(listed, F.col("ids")).alias("ids"),
-        F.when(listed, F.col("texts")).alias("texts"),
+        F.array_join(F.col("_members.id"), "|").alias("ids"),
+        F.array_join(F.array_distinct("_members.text"), "|").alias("texts"),
         F.col("label_mean").alias(label),
         F.col(COUNT).alias("replicate_n"),
         F.when(F.col(COUNT) > 1, F.col("label_std")).alias("replicate_std"),
         F.col("label_range").alias("replicate_range"),
         F.when(F.col(COUNT) == 1, "unique_keep").otherwise("duplicate_aggregated").alias("curation_action"),
-        F.when(listed, F.col("first_row")).alias("first_row"),
+        F.col("_members")[0][row_id].alias("first_row"),
     )
 
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +9,6 @@ from screenflow.functions import text as tx
 from screenflow.functions.skew import salted_join
 from screenflow.session import materialize
 
-MODEL_LIMIT = 200_000  # transitions sent to every task; larger models are joined step by step
 
 
 def transitions(df: DataFrame, text: str, order: int, keep: list[str] | None = None) -> DataFrame:
@@ -108,51 +102,15 @@ def _uniform(seed: Column, step: Column) -> Column:
 
 
 def sample_sequences(
-    model: DataFrame,
-    n: int,
-    max_length: int,
-    order: int = 2,
-    temperature: float = 1.0,
-    seed: int = 42,
-    limit: int = MODEL_LIMIT,
+    model: DataFrame, n: int, max_length: int, order: int = 2, temperature: float = 1.0, seed: int = 42
 ) -> DataFrame:
     """Draw n texts (id, generated) token by token from BOS.
 
-    Drawing stops at EOS or after max_length - 1 tokens; PAD, BOS and UNK are never drawn. Random
-    numbers depend on (seed, id, step) alone, so the texts do not depend on the partitioning.
+    Drawing stops at EOS, at a context without options, or after max_length - 1 tokens; PAD, BOS and
+    UNK are never drawn. Random numbers depend on (seed, id, step) alone, so the texts do not depend
+    on the partitioning. Every step looks all open sequences up in the model.
     """
-    size = model.where(F.col("length") == order).limit(limit + 1).count()
     choices = _choices(model, order, temperature)
-    if size > limit:
-        return _sample_by_joins(choices, n, max_length, order, seed)
-
-    table = {}
-    for row in choices.collect():  # at most `limit` transitions
-        weights = np.cumsum([o["w"] for o in row["options"]])
-        table[tuple(row["context"])] = ([o["next"] for o in row["options"]], weights)
-    shared = model.sparkSession.sparkContext.broadcast(table)
-
-    def draw(id: int) -> str:
-        made: list[str] = []
-        for step in range(max_length - 1):
-            tokens, weights = shared.value[tuple(([tx.BOS] + made)[-order:])]
-            digest = hashlib.md5(f"{seed}:{id}:{step}".encode()).hexdigest()
-            u = int(digest[:12], 16) / 16**12
-            token = tokens[int(np.searchsorted(weights, u * weights[-1], side="right"))]
-            if token == tx.EOS:
-                break
-            made.append(token)
-        return "".join(made)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "generated": [draw(int(i)) for i in batch["id"]]})
-
-    return model.sparkSession.range(n).mapInPandas(run, "id long, generated string")
-
-
-def _sample_by_joins(choices: DataFrame, n: int, max_length: int, order: int, seed: int) -> DataFrame:
-    """The same draws for a model of any size: every step looks all open sequences up in the model."""
     spark = choices.sparkSession
     choices = materialize(choices)
     state = spark.range(n).withColumns({"made": F.array().cast("array<string>"), "open": F.lit(True)})
@@ -160,7 +118,7 @@ def _sample_by_joins(choices: DataFrame, n: int, max_length: int, order: int, se
         tail = F.concat(F.array(F.lit(tx.BOS)), F.col("made"))
         tail = F.slice(tail, F.greatest(F.size(tail) - order + 1, F.lit(1)), F.lit(order))
         asking = state.where("open").withColumn("context", tail)
-        wanted = asking.groupBy("context").agg(F.count(F.lit(1)).alias("_n")).join(choices, "context")
+        wanted = asking.groupBy("context").agg(F.count(F.lit(1)).alias("_n")).join(choices, "context", "left")
         offered = salted_join(asking, wanted, ["context"], "_n", ["id"]).drop("_n")
         total = F.aggregate("options", F.lit(0.0), lambda acc, o: acc + o["w"])
         target = _uniform(F.lit(str(seed)), F.lit(step)) * total
@@ -176,10 +134,8 @@ def _sample_by_joins(choices: DataFrame, n: int, max_length: int, order: int, se
         drawn = offered.withColumn("_token", walk)
         grown = drawn.select(
             "id",
-            F.when(F.col("_token") == tx.EOS, F.col("made"))
-            .otherwise(F.concat("made", F.array("_token")))
-            .alias("made"),
-            (F.col("_token") != tx.EOS).alias("open"),
+            F.when(F.col("_token") != tx.EOS, F.concat("made", F.array("_token"))).otherwise(F.col("made")).alias("made"),
+            F.coalesce(F.col("_token") != tx.EOS, F.lit(False)).alias("open"),
         )
         state = materialize(grown.unionByName(state.where("not open")))
         if not state.where("open").limit(1).count():

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from screenflow.functions.ordering import exact_quantiles
 from screenflow.functions.text import formal_charge, fragment_count, heavy_atom_count, ring_count, tokens
@@ -71,13 +72,17 @@ def enrich_rows(
         except Exception:
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [attempt(row) for row in batch.to_dict("records")]
-            new = {n: pd.Series([r.get(n) if r else None for r in found], batch.index, dtype=object) for n in names}
-            yield batch.assign(**new, **{valid: [r is not None for r in found]})
+            found = [attempt(row) for row in batch.to_pylist()]
+            new = [pa.array([r.get(n) if r else None for r in found], kind) for n, kind in zip(names, kinds)]
+            flags = pa.array([r is not None for r in found], pa.bool_())
+            # The input columns go through untouched.
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new, flags], names=schema.fieldNames())
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def validity_summary(df: DataFrame, flag: str) -> DataFrame:

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
-from screenflow.functions.literals import array_constant
 from screenflow.functions.ordering import global_rank
 from screenflow.functions.skew import salted_join
 from screenflow.operators.quality import describe
 
-VOCABULARY_LIMIT = 100_000  # larger vocabularies are joined instead of being sent to every task
-
 
 def token_frequency(df: DataFrame, text: str) -> DataFrame:
     """Count and share of every token."""
@@ -44,45 +38,9 @@ def token_length_stats(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _small(vocabulary: DataFrame, limit: int) -> list[str] | None:
-    """Tokens in id order, or None if there are more than `limit`."""
-    rows = vocabulary.select("id", "token").limit(limit + 1).collect()
-    return None if len(rows) > limit else [r["token"] for r in sorted(rows, key=lambda r: r["id"])]
-
-
-def _ids_udf(names: list[str]):
-    """Token arrays to id arrays with both ends, a whole Arrow batch at a time."""
-
-    @F.arrow_udf("array<int>")
-    def to_ids(batch: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = pc.index_in(batch.flatten(), value_set=pa.array(names, batch.type.value_type))
-        inner = pc.fill_null(found, tx.UNK_ID).to_numpy(zero_copy_only=False).astype(np.int32)
-        ends = np.cumsum(lengths + 2)
-        starts = ends - lengths - 2
-        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        is_end = np.zeros(len(ids), bool)
-        is_end[starts] = is_end[ends - 1] = True
-        ids[~is_end] = inner
-        ids[starts] = tx.BOS_ID
-        ids[ends - 1] = tx.EOS_ID
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=batch.is_null())
-
-    return to_ids
-
-
-def encode(
-    df: DataFrame, text: str, vocabulary: DataFrame, row_id: str, ids: str = "ids", limit: int = VOCABULARY_LIMIT
-) -> DataFrame:
-    """Add BOS + token ids + EOS; tokens outside the vocabulary become UNK.
-
-    The vocabulary goes to the tasks while it has at most `limit` entries, else it is joined.
-    """
-    names = _small(vocabulary, limit)
+def encode(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str, ids: str = "ids") -> DataFrame:
+    """Add BOS + token ids + EOS; tokens outside the vocabulary become UNK. `row_id` is unique."""
     tokenized = df.withColumn("_tokens", tx.tokens(F.col(text)))
-    if names is not None:
-        return tokenized.withColumn(ids, _ids_udf(names)(F.col("_tokens"))).drop("_tokens")
     translated = _translate(tokenized, "_tokens", vocabulary.select("token", "id"), "token", "id", row_id)
     inner = F.transform(
         "_tokens", lambda t: F.coalesce(F.try_element_at(F.col("_map"), t), F.lit(tx.UNK_ID)).cast("int")
@@ -92,7 +50,7 @@ def encode(
 
 
 def _translate(df: DataFrame, array: str, table: DataFrame, source: str, target: str, row_id: str) -> DataFrame:
-    """Add `_map`: the entries of a large table for the distinct elements of the row's array.
+    """Add `_map`: the entries of a table for the distinct elements of the row's array.
 
     An element that many rows share is hot, so its rows are counted first and split in the join.
     """
@@ -114,13 +72,9 @@ def decode(
     row_id: str,
     out: str = "decoded",
     skip_unknown: bool = False,
-    limit: int = VOCABULARY_LIMIT,
 ) -> DataFrame:
     """Text of an id sequence: up to the first EOS, without PAD and BOS (and UNK on request)."""
     skip = [tx.PAD_ID, tx.BOS_ID] + ([tx.UNK_ID] if skip_unknown else [])
-    names = _small(vocabulary, limit)
-    if names is not None:
-        return df.withColumn(out, tx.decode(F.col(ids), array_constant(names, "array<string>"), skip))
     translated = _translate(df, ids, vocabulary.select("id", "token"), "id", "token", row_id)
     words = F.transform(tx.content_ids(F.col(ids), skip), lambda i: F.try_element_at(F.col("_map"), i))
     return translated.withColumn(out, F.array_join(words, "")).drop("_map")

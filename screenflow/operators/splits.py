@@ -94,9 +94,7 @@ def group_split(
     place = F.col("_rank") - F.col("_start") - 1
     segment = F.element_at(F.filter("_segments", lambda s: s["before"] <= place), -1)
     found = F.get(segment["turn"], F.pmod(place - segment["before"], F.size(segment["turn"])).cast("int"))
-    return (
-        ranked.join(F.broadcast(turns), "size").withColumn("split", found).select(group, "size", "split")
-    )
+    return ranked.join(turns, "size").withColumn("split", found).select(group, "size", "split")
 
 
 def assign_split(

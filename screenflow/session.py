@@ -7,10 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
+def local_session(
+    cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g", checkpoints: str | None = None
+) -> SparkSession:
+    """Session for tests and the benchmark; a cluster brings its own. `checkpoints` names the shared folder."""
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("screenflow")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,25 +27,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def _use_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the shared folder the session names; one JVM alone may use a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="screenflow-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a table of only a few files out over all cores before work that is heavy per row.
-
-    A table with as many files as there are cores is left alone, so a large input is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: this application's part of the checkpoint folder."""
+    _use_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenflow.functions.ordering import global_rank
 from screenflow.operators.quality import nan_to_null
 
 
@@ -27,12 +28,15 @@ def read_table(
     row_id: str | None = "row_id",
     line_breaks: bool = False,
 ) -> DataFrame:
-    """Read a table, NaN as NULL, with a `row_id` that follows the order of the files.
+    """Read a table, NaN as NULL, with a `row_id` that numbers the rows from 0: files by path, rows by place.
+
+    Numbering sorts the rows by file and place and writes them once; without `row_id` the table is
+    only scanned.
 
     CSV has a header and keeps blanks at the ends of a text; an empty field is NULL, and an empty
     text stands in quotes. `line_breaks` allows them inside a quoted text, at the price that one
     task reads a whole file.
-    JSON holds one value per file, possibly over several lines.
+    JSON holds one value per line, or with `line_breaks` one value (or array) per file.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
@@ -40,9 +44,16 @@ def read_table(
             raise ValueError("a CSV table needs a schema")
         reader = reader.options(**_CSV, multiLine=line_breaks, nullValue=_NO_TEXT, emptyValue="")
     elif fmt == "json":
-        reader = reader.option("multiLine", True)
+        reader = reader.option("multiLine", line_breaks)
     df = nan_to_null(reader.format(fmt).load(path))
-    return df if row_id is None else df.withColumn(row_id, F.monotonically_increasing_id())
+    if row_id is None:
+        return df
+    # A split of a file is read by one task from front to back, so the running id is in its order.
+    place = {
+        "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_running": F.monotonically_increasing_id()
+    }
+    ranked = global_rank(df.select("*", *[c.alias(n) for n, c in place.items()]), list(place), row_id)
+    return ranked.withColumn(row_id, F.col(row_id) - 1).drop(*place)
 
 
 def select_rename(df: DataFrame, names: dict[str, str], ignore_case: bool = False) -> DataFrame:

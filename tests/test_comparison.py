@@ -10,12 +10,27 @@ from screenflow.operators import distributions, errors, screening
 from screenflow.operators.quality import ExpectationError
 
 
-# Published two-sample statistics for 20,000 against 8,789 values, and their p-values.
+# Published two-sample statistics for 20,000 against 8,789 values, and their p-values.
 @pytest.mark.parametrize(
-    "statistic,p", [(0.031864813972010464, 8.047859080742036e-06), (0.05736571282284675, 6.592054875004169e-18)]
+    "statistic,p",
+    [
+        (0.10376607122539538, 1.0703581272765135e-57),
+        (0.05736571282284675, 6.592054875004169e-18),
+        (0.031864813972010464, 8.047859080742036e-06),
+        (0.041955569461827324, 8.908126841101898e-10),
+        (0.04082717032654448, 2.791859219562236e-09),
+        (0.05880337922403002, 8.541535132293309e-19),
+    ],
 )
 def test_ks_p_value(statistic, p):
-    assert abs(math.log10(ks_p_value(statistic, 20_000, 8_789)) - math.log10(p)) < 0.2
+    assert ks_p_value(statistic, 20_000, 8_789) == pytest.approx(p, rel=1e-6)
+
+
+def test_ks_p_value_at_the_ends():
+    assert ks_p_value(0.0, 10, 10) == 1.0 and ks_p_value(1.0, 10, 10) == 0.0
+    assert ks_p_value(1e-9, 10**7, 10**7) == pytest.approx(1.0)
+    # The exact sum and the limiting form meet where one takes over from the other.
+    assert ks_p_value(0.0015, 1_999_990, 1_999_990) == pytest.approx(ks_p_value(0.0015, 2_000_020, 2_000_020), rel=1e-3)
 
 
 def test_correlation_p_value():

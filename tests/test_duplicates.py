@@ -76,14 +76,15 @@ def test_curation_at_the_limit_and_with_missing_labels(spark):
     assert found["one"]["label"] is None and found["one"]["replicate_std"] is None
 
 
-def test_long_lists_are_given_as_rows(spark):
-    rows = [(i, f"id{i}", "t", "big" if i < 40 else f"k{i}", 1.0) for i in range(60)]
+def test_long_lists_are_whole(spark):
+    rows = [(i, f"id{i}", "t", "big" if i < 12_000 else f"k{i}", 1.0) for i in range(12_020)]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = curate(df, list_limit=10)
-    assert found["big"]["ids"] is None and found["big"]["replicate_n"] == 40
-    assert found["k50"]["ids"] == "id50"
-    members = dup.merged_members(df, ["key"], "label", "row_id", rows_per_task=10)
-    assert sorted(r["row_id"] for r in members.collect()) == list(range(40))
+    found = curate(df)
+    assert found["big"]["ids"] == "|".join(f"id{i}" for i in range(12_000))
+    assert found["big"]["first_row"] == 0 and found["big"]["texts"] == "t" and found["big"]["replicate_n"] == 12_000
+    assert found["k12010"]["ids"] == "id12010"
+    members = dup.merged_members(df, ["key"], "label", "row_id", rows_per_task=1000)
+    assert sorted(r["row_id"] for r in members.collect()) == list(range(12_000))
 
 
 def test_counts_agree(measured):

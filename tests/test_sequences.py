@@ -39,14 +39,12 @@ def test_vocabulary_order(texts):
 
 def test_encoding_both_ways(texts):
     vocabulary = sequences.build_vocabulary(texts.where("id < 4"), "text")
-    small = sequences.encode(texts, "text", vocabulary, "id")
-    joined = sequences.encode(texts, "text", vocabulary, "id", limit=2)
-    a, b = ({r.id: r.ids for r in df.collect()} for df in (small, joined))
-    assert a == b and a[4] == [1, 2] and 3 in a[7]
-    back = {r.id: r.decoded for r in sequences.decode(small, "ids", vocabulary, "id").collect()}
-    also = {r.id: r.decoded for r in sequences.decode(small, "ids", vocabulary, "id", limit=2).collect()}
-    assert back == also and all(back[i] == TEXTS[i] for i in range(5))
-    known = {r.id: r.decoded for r in sequences.decode(small, "ids", vocabulary, "id", skip_unknown=True).collect()}
+    coded = sequences.encode(texts, "text", vocabulary, "id")
+    ids = {r.id: r.ids for r in coded.collect()}
+    assert ids[4] == [1, 2] and 3 in ids[7]
+    back = {r.id: r.decoded for r in sequences.decode(coded, "ids", vocabulary, "id").collect()}
+    assert all(back[i] == TEXTS[i] for i in range(5))
+    known = {r.id: r.decoded for r in sequences.decode(coded, "ids", vocabulary, "id", skip_unknown=True).collect()}
     assert "<UNK>" in back[7] and known[7] == "1"
     whole = sequences.build_vocabulary(texts, "text")
     row = sequences.roundtrip_check(texts, "text", whole, "id").first()
@@ -80,7 +78,21 @@ def test_generated_texts(spark):
     assert {r.next: r["count"] for r in model.where("length = 0").collect()} == {"a": 30, "b": 30, "<EOS>": 20}
     made = ngrams.sample_sequences(model, 50, 12, 2, seed=3).orderBy("id").collect()
     again = ngrams.sample_sequences(model.repartition(5), 50, 12, 2, seed=3).orderBy("id").collect()
-    joined = ngrams.sample_sequences(model, 50, 5, 2, seed=3, limit=1).orderBy("id").collect()
+    short = ngrams.sample_sequences(model, 50, 5, 2, seed=3).orderBy("id").collect()
     assert made == again and len({r.generated for r in made}) > 3
     assert all(set(r.generated) <= {"a", "b"} and len(r.generated) <= 11 for r in made)
-    assert [r.generated[:4] for r in made] == [r.generated for r in joined]
+    assert [r.generated[:4] for r in made] == [r.generated for r in short]
+
+
+def test_ids_are_those_of_the_vocabulary(spark):
+    rows = [("<PAD>", 0), ("<BOS>", 1), ("<EOS>", 2), ("<UNK>", 3), ("a", 10), ("b", 20)]
+    vocabulary = spark.createDataFrame(rows, "token string, id int")
+    coded = sequences.encode(spark.createDataFrame([(1, "ab"), (2, "b")], "id long, text string"), "text", vocabulary, "id")
+    assert {r.id: r.ids for r in coded.collect()} == {1: [1, 10, 20, 2], 2: [1, 20, 2]}
+    assert {r.id: r.decoded for r in sequences.decode(coded, "ids", vocabulary, "id").collect()} == {1: "ab", 2: "b"}
+
+
+def test_a_context_without_options_ends_the_text(spark):
+    model = spark.createDataFrame([(1, ["<BOS>"], "a", 1)], "length int, context array<string>, next string, count long")
+    made = ngrams.sample_sequences(model, 3, 9, 1).collect()
+    assert sorted(r.generated for r in made) == ["a", "a", "a"]
