@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenflow.llm.arrow import append_columns, unused
+from screenflow.llm.arrow import append_columns, small_batches, unused
 
 PROFILE = 300  # n-grams per profile
 MAX_LANGUAGES = 1000  # learned languages; more is an error
 UNKNOWN = "und"
 _BITS = 21  # a code point
-_CHUNK = 1 << 20  # characters whose n-grams are counted at a time
+_CHUNK = 1 << 17  # characters whose n-grams are counted at a time
 
 _letters: np.ndarray | None = None
 
@@ -109,6 +109,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", si
                     room = _CHUNK
             yield from flush()
 
+    small_batches(labelled)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = rows.mapInArrow(count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "ngram")
