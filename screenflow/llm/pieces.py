@@ -233,16 +233,23 @@ def escaped(text: str) -> str:
 
 
 class Memo(dict):
-    """Results per segment, of at most `limit` segments, worked out when first asked for."""
+    """Results per segment, worked out when first asked for; at most `limit` are kept.
+
+    Kept in two halves: when the newer is full it becomes the older, whose results come back to the
+    newer as they are asked for again. Rare segments fall out, frequent ones stay.
+    """
 
     def __init__(self, work, limit: int = SEGMENTS):
         super().__init__()
-        self.work, self.limit = work, limit
+        self.work, self.half, self.older = work, limit // 2, {}
 
     def __missing__(self, segment: str):
-        result = self.work(segment)
+        result = self.older.get(segment)
+        if result is None:
+            result = self.work(segment)
         if len(segment) <= LONGEST_SEGMENT:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[segment] = result
         return result
@@ -262,5 +269,7 @@ _MACHINES: dict[tuple[str, bool], Machine] = {}
 def machine(path: str, counting: bool) -> Machine:
     """The machine of a model file, built once per Python worker."""
     if (path, counting) not in _MACHINES:
+        # States live long and hold no dead cycles: look through them less often.
+        gc.set_threshold(200_000, 20, 50)
         _MACHINES[path, counting] = Machine(Vocabulary(path), counting)
     return _MACHINES[path, counting]
