@@ -106,9 +106,12 @@ def cluster_fingerprints(
     max_distance: float = 0.60,
     later_ties_first: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
+    n_bits: int | None = None,
 ) -> DataFrame:
     """(id, cluster_id) for rows with fingerprints: neighbours are at most `max_distance` apart.
 
+    `n_bits` is the width of the fingerprints, if known (see `similar_pairs`).
+
     Rows with equal fingerprints have the same neighbours and always share a cluster, so each
     fingerprint is clustered once, by its first visited row and weighted with its number of rows.
     However many copies there are, no pairs of copies are made. A row with an empty fingerprint is
@@ -123,7 +126,7 @@ def cluster_fingerprints(
         F.col(id).alias("_node"), F.lit(1).cast("long").alias("_copies")
     )
     nodes = copies.select("_node", "_copies").unionByName(alone)
-    pairs = materialize(similar_pairs(copies, "_node", "_bits", max_distance))
+    pairs = materialize(similar_pairs(copies, "_node", "_bits", max_distance, n_bits=n_bits))
     clusters = butina_clusters(nodes, "_node", pairs, later_ties_first, rows_per_task, weight="_copies")
     named = copies.join(clusters.select("_node", "cluster_id"), "_node").select("_bits", "_copies", "cluster_id")
     rows = df.where(F.size(bits) > 0).select(id, F.col(bits).alias("_bits"))

@@ -13,7 +13,6 @@ RULE_OF_FIVE = {"mw": 500.0, "logp": 5.0, "hbd": 5.0, "hba": 10.0}
 MIN_SCORE = 0.5
 MAX_VIOLATIONS = 1
 WEIGHTS = (0.45, 0.35, 0.20)
-BROADCAST_ROWS = 100_000
 
 
 def rule_violations(df: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -129,8 +128,6 @@ def pareto_front(df: DataFrame, x: str, y: str, row_id: str, flag: str = "pareto
     Rows without x or y are never marked.
     """
     front = _front(df, x, y, row_id).withColumn(flag, F.lit(True))
-    if front.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        front = F.broadcast(front)
     return df.join(front, row_id, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
