@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from screenflow.llm.decontamination import drop_contaminated
 from screenflow.llm.language import keep_known
 from screenflow.llm.pii import redact_pii
-from screenflow.llm.sentencepiece_codec import decode_pieces, encode_pieces
+from screenflow.llm.sentencepiece_codec import encode_checked
 from screenflow.llm.simhash import keep_one
 from screenflow.session import materialize
 
@@ -39,10 +38,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, checked by decoding: `exact` tells whether the text comes back."""
-    coded = encode_pieces(docs, PIECE_MODEL)
-    back = decode_pieces(coded, PIECE_MODEL, name="decoded")
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return back.select(*docs.columns, F.size("piece_ids").alias("n_tokens"), "piece_ids", exact.alias("exact"))
+    return encode_checked(docs, PIECE_MODEL)
 
 
 STAGES = [

@@ -57,6 +57,24 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", name: st
     return append_columns(docs, text, {name: T.ArrayType(T.IntegerType())}, work)
 
 
+def encode_checked(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """Add `piece_ids`, `n_tokens` and `exact`, whether decoding the ids gives the text back, in one pass.
+
+    NULLs, repeats and other columns are treated as by `encode_pieces`.
+    """
+
+    def work(column):
+        one, columns = codec(model_path), [[], [], []]
+        for t in column.to_pylist():
+            ids = one.encode(t)
+            for c, v in zip(columns, (ids, len(ids), one.decode(ids) == (t or ""))):
+                c.append(v)
+        return columns
+
+    fields = {"piece_ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "exact": T.BooleanType()}
+    return append_columns(docs, text, fields, work)
+
+
 def decode_pieces(rows: DataFrame, model_path: str, ids: str = "piece_ids", name: str = "text") -> DataFrame:
     """Add the text of every list of ids; the end id has none. NULL gives NULL."""
 
