@@ -18,7 +18,8 @@ from operator import getitem
 SPACE = "▁"
 START = -1  # "last token" at the start of a segment: compatible with every token
 UNKNOWN = -2  # a character outside the vocabulary: written as its UTF-8 bytes
-SEGMENTS = 200_000  # results kept per Python worker; above it they are worked out anew
+PAIRS = 500_000  # token pairs whose compatibility is remembered
+SEGMENTS = 150_000  # results kept per Python worker; above it they are worked out anew
 LONGEST_SEGMENT = 40  # longer segments are not kept
 STATES = 150_000  # per Python worker; above it the machine starts anew (results do not change)
 
@@ -50,7 +51,7 @@ class Vocabulary:
             made = self._merged(piece)
             if made is not None:
                 self.parts[i] = made[0]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _merged(self, piece: str) -> list[tuple[int, int] | None] | None:
         """The last merge when the piece's characters merge into the piece, else None (never made)."""
@@ -71,11 +72,12 @@ class Vocabulary:
         """Whether merging the joined text of two tokens leaves exactly these two."""
         if left < 0 or right < 0:
             return True
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._stays_apart(left, right)
+            known = self._pairs[pair] = self._stays_apart(left, right)
         return known
 
     def _stays_apart(self, left: int, right: int) -> bool:
@@ -103,7 +105,7 @@ class Vocabulary:
 class State(dict):
     """A machine state; as a dict it maps a character to the next state."""
 
-    __slots__ = ("machine", "node", "history", "last", "delta", "blank")
+    __slots__ = ("machine", "key", "last", "delta")
 
     def __missing__(self, char: str) -> State:
         after = self[char] = self.machine.step(self, char)
@@ -156,31 +158,32 @@ class Machine:
     def clear(self) -> None:
         """Forget all states."""
         self.states: dict[tuple, State] = {}
-        self.root = self._state(0, ((START, 0),), 0, False)
+        self.root = self._state((0, 0, False, START, 0))
 
-    def _state(self, node: int, history: tuple, delta: int, blank: bool) -> State:
-        key = (node, history, delta, blank)
+    def _state(self, key: tuple) -> State:
+        """The state of a key: node, change of the count, whether the last character is a blank, and
+        for each open suffix of the node the last token before it and the count there, longest first."""
         state = self.states.get(key)
         if state is None:
             state = self.states[key] = State()
-            state.machine, state.node, state.history, state.delta, state.blank = self, node, history, delta, blank
-            state.last = history[-1][0]
+            state.machine, state.key, state.delta, state.last = self, key, key[1], key[-2]
         return state
 
     def step(self, state: State, char: str) -> State:
-        if char == SPACE and not state.blank:
+        key = state.key
+        if char == SPACE and not key[2]:
             # No piece goes on over a blank after other characters: a new segment starts here.
             node = self.after[0][SPACE]
             one = int(self.counting)
-            return self._state(node, ((START, -one), (self.token[node], 0)), one, True)
-        node = state.node
+            return self._state((node, one, True, START, -one, self.token[node], 0))
+        node = key[0]
         while node and char not in self.after[node]:
             node = self.up[node]
         node = self.after[node].get(char, 0)
         if not node:
             size = len(char.encode("utf-8")) if self.counting else 0
-            return self._state(0, ((UNKNOWN, 0),), size, False)
-        before = {self.depth[n]: h for n, h in zip(self.open[state.node], state.history)}
+            return self._state((0, size, False, UNKNOWN, 0))
+        before = {self.depth[n]: h for n, h in zip(self.open[key[0]], zip(key[3::2], key[4::2]))}
         for n in self.chain[node]:
             token = self.token[n]
             if token >= 0:
@@ -193,8 +196,8 @@ class Machine:
         history = []
         for n in self.open[node][:-1]:
             last, relative = before[self.depth[n] - 1]
-            history.append((last, relative - delta))
-        return self._state(self.open[node][0], (*history, (token, 0)), delta, char == SPACE)
+            history += [last, relative - delta]
+        return self._state((self.open[node][0], delta, char == SPACE, *history, token, 0))
 
     def run(self, text: str) -> Iterator[State]:
         """The states after each character, from a segment's start."""
