@@ -110,6 +110,17 @@ def sampled(spark, sf) -> DataFrame:
     return ngrams.sample_sequences(model, 200, 60, ORDER, temperature=1.0, seed=42)
 
 
+# One row per drawn token; the same md5 draws, and options in the order of their bytes.
+SAMPLED = f"""WITH RECURSIVE {MODEL},
+options AS MATERIALIZED (SELECT c2, c1, next, SUM(count) OVER (PARTITION BY c2, c1 ORDER BY next) AS upto,
+  SUM(count) OVER (PARTITION BY c2, c1) AS total FROM model WHERE length = 2 AND next NOT IN ('<PAD>', '<BOS>', '<UNK>')),
+walk AS (SELECT id, 0 AS step, '' AS c2, '<BOS>' AS c1, '' AS made, true AS going FROM range(200) r(id)
+  UNION ALL SELECT id, step + 1, c1, pick, CASE WHEN pick = '<EOS>' THEN made ELSE made || pick END, pick <> '<EOS>'
+  FROM (SELECT id, step, w.c1, made, MIN(next) AS pick FROM walk w JOIN options o ON o.c2 = w.c2 AND o.c1 = w.c1
+    AND upto > ('0x' || md5('42:' || id || ':' || step)[1:12])::BIGINT / CAST(281474976710656 AS DOUBLE) * CAST(total AS DOUBLE)
+    WHERE going AND step < 59 GROUP BY ALL))
+SELECT id, arg_max(made, step) AS generated FROM walk GROUP BY id"""
+
 TOKEN_LENGTHS = f"""WITH {LINES}, n AS (SELECT len({token_list()}) AS n FROM lines)
 SELECT 'n_tokens' AS variable, COUNT(*) AS count, ROUND(AVG(n), 6) AS mean, ROUND(STDDEV_SAMP(n), 6) AS std,
 CAST(MIN(n) AS DOUBLE) AS min, ROUND(quantile_cont(n, 0.25), 6) AS q25, ROUND(quantile_cont(n, 0.5), 6) AS q50,
@@ -196,7 +207,7 @@ ELSE 'holdout' END AS split FROM r""",
         f"""WITH {MODEL} SELECT CAST(length AS INTEGER) AS length, c2 || c1 AS context, next, count FROM model""",
     ),
     "score_sequences": (scored, SCORE),
-    "sample_sequences": (sampled, None),
+    "sample_sequences": (sampled, SAMPLED),
     "best_row": (
         lambda spark, sf: sequences.best_row(
             table(spark, sf, "events").select("event_id", "event_type", "user_id", "value"), "value", "event_id", ["event_type"]

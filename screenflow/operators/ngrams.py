@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
-from screenflow.functions.skew import salted_join
 from screenflow.session import materialize
 
 
@@ -117,9 +116,9 @@ def sample_sequences(
     for step in range(max_length - 1):
         tail = F.concat(F.array(F.lit(tx.BOS)), F.col("made"))
         tail = F.slice(tail, F.greatest(F.size(tail) - order + 1, F.lit(1)), F.lit(order))
-        asking = state.where("open").withColumn("context", tail)
-        wanted = asking.groupBy("context").agg(F.count(F.lit(1)).alias("_n")).join(choices, "context", "left")
-        offered = salted_join(asking, wanted, ["context"], "_n", ["id"]).drop("_n")
+        # Closed sequences ask for nothing. Many sequences share a context: adaptive execution splits
+        # them, or broadcasts a small model.
+        offered = state.withColumn("context", F.when(F.col("open"), tail)).join(choices, "context", "left")
         total = F.aggregate("options", F.lit(0.0), lambda acc, o: acc + o["w"])
         target = _uniform(F.lit(str(seed)), F.lit(step)) * total
         walk = F.aggregate(
@@ -132,12 +131,9 @@ def sample_sequences(
             lambda acc: acc["pick"],
         )
         drawn = offered.withColumn("_token", walk)
-        grown = drawn.select(
-            "id",
-            F.when(F.col("_token") != tx.EOS, F.concat("made", F.array("_token"))).otherwise(F.col("made")).alias("made"),
-            F.coalesce(F.col("_token") != tx.EOS, F.lit(False)).alias("open"),
-        )
-        state = materialize(grown.unionByName(state.where("not open")))
-        if not state.where("open").limit(1).count():
+        goes_on = F.coalesce(F.col("_token") != tx.EOS, F.lit(False))
+        grown = F.when(goes_on, F.concat("made", F.array("_token"))).otherwise(F.col("made"))
+        state = materialize(drawn.select("id", grown.alias("made"), goes_on.alias("open")))
+        if state.where("open").isEmpty():
             break
     return state.select("id", F.array_join("made", "").alias("generated"))
