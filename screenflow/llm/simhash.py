@@ -164,7 +164,7 @@ def component_roots(nodes: DataFrame, fingerprint: str = "fingerprint", distance
 
 
 def _labelled(prints: DataFrame, id: str, distance: int) -> DataFrame:
-    """One row per distinct fingerprint: `first`, its smallest id, and `component_id`."""
+    """One row per distinct fingerprint: `first`, its smallest id, `root`, which tells its component, and `component_id`."""
     nodes = materialize(prints.groupBy("fingerprint").agg(F.min(id).alias("first")))
     roots = component_roots(nodes, "fingerprint", distance)
     linked = materialize(
@@ -172,7 +172,7 @@ def _labelled(prints: DataFrame, id: str, distance: int) -> DataFrame:
         .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     )
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return linked.join(smallest, "root").drop("root")
+    return linked.join(smallest, "root")
 
 
 def near_duplicates(
@@ -185,7 +185,7 @@ def near_duplicates(
     of documents without any id is NULL.
     """
     prints = materialize(with_fingerprint(docs.select(id, text), text, drop=True))
-    labels = _labelled(prints, id, distance).drop("first")
+    labels = _labelled(prints, id, distance).drop("first", "root")
     # Many rows to one row per fingerprint; a large group of copies is split by skew join handling.
     joined = prints.join(labels, "fingerprint")
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -196,17 +196,14 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance:
     """The documents, each near-duplicate group reduced to the one with the smallest id.
 
     Of repeated rows of that id one stays (the same fingerprint, whichever is met first). In a group
-    without ids one document stays.
+    without ids one document stays. Groups are told apart by their texts: an id that is the smallest
+    of several groups stays in each of them.
     """
     mark, kept_print, wanted = (unused(docs, name) for name in ("_fingerprint", "_kept", "_wanted"))
     marked = with_fingerprint(docs, text, mark)
     prints = materialize(marked.select(id, F.col(mark).alias("fingerprint")))
-    kept = (
-        _labelled(prints, id, distance)
-        .where(F.col("first").eqNullSafe(F.col("component_id")))
-        .select(F.col("fingerprint").alias(kept_print), F.col("first").alias(wanted))
-    )
-    one = kept.groupBy(wanted).agg(F.min(kept_print).alias(kept_print))
+    kept = _labelled(prints, id, distance).where(F.col("first").eqNullSafe(F.col("component_id")))
+    one = kept.groupBy("root").agg(F.min("fingerprint").alias(kept_print), F.min("first").alias(wanted)).drop("root")
     same = (F.col(mark) == F.col(kept_print)) & F.col(id).eqNullSafe(F.col(wanted))
     survivors = marked.join(one, same).drop(kept_print, wanted)
     return survivors.dropDuplicates([mark, id]).select(*docs.columns)

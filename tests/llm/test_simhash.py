@@ -106,3 +106,11 @@ def test_whole_tables(documents, no_documents):
     assert kept.columns == documents.columns
     assert sorted((r["doc_id"] or -1 for r in kept.collect())) == [-1, 1, 2, 4, 5, 6, 10]
     assert near_duplicates(no_documents).count() == keep_one(no_documents).count() == 0
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    river, tower = "the house is by the river and the mill", "seven grey towers stand over an old harbour wall"
+    rows = [(None, river), (None, river), (None, tower), (7, "a b c"), (7, "quite another text than that"), (8, "a b c"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"] or -1, r["text"] or "") for r in keep_one(docs).collect()]
+    assert sorted(kept) == [(-1, tower), (-1, river), (7, "a b c"), (7, "quite another text than that"), (9, "")]
