@@ -42,10 +42,10 @@ def windows(item: list[bytes], size: int = WINDOW) -> list[bytes]:
 class Automaton:
     """Finds the windows of all items in a normalised text."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         import ahocorasick
 
-        self.owners: list[list[str]] = []
+        self.owners: list[list[str | None]] = []
         place: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton()
         for name, text in items:
@@ -61,7 +61,7 @@ class Automaton:
             self.automaton.make_automaton()
 
     def scan(self, document: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit stretches of words (start, end; apart and in order) and the items that occur."""
+        """Hit stretches of words (start, end; apart and in order) and the ids of the items that occur."""
         if not (self.any and document):
             return [], set()
         text = " " + b" ".join(document).decode("latin-1") + " "
@@ -83,10 +83,10 @@ class Automaton:
             inside = text.count(" ", start, end)
             stretches.append((before, before + inside))
             at, before = end, before + inside
-        return stretches, {name for k in kinds for name in self.owners[k]}
+        return stretches, {name for k in kinds for name in self.owners[k] if name is not None}
 
 
-Items = tuple[str, list[tuple[str, str]]]  # digest, (item id as text, text)
+Items = tuple[str, list[tuple[str | None, str]]]  # digest, (item id as text, text)
 
 
 def _automaton(items: Items, size: int) -> Automaton:
@@ -98,16 +98,20 @@ def _automaton(items: Items, size: int) -> Automaton:
     return _AUTOMATA[key]
 
 
-def load_items(benchmark: DataFrame, id: str = "item_id", text: str = "text", max_bytes: int = MAX_BYTES) -> Items:
+def load_items(
+    benchmark: DataFrame, id: str = "item_id", text: str = "text", max_bytes: int = MAX_BYTES, without_id: bool = False
+) -> Items:
     """The items on the driver, after a check that all of them together have at most `max_bytes`.
 
-    NULL texts have no words; items with a NULL id are left out.
+    NULL texts have no words. Items with a NULL id are left out, unless `without_id` is set: then
+    their windows hit like any other and only the list of ids leaves them out.
     """
-    rows = benchmark.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string"), text)
+    told = F.col(text).isNotNull() if without_id else F.col(id).isNotNull() & F.col(text).isNotNull()
+    rows = benchmark.where(told).select(F.col(id).cast("string"), text)
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     if total > max_bytes:
         raise ValueError(f"the benchmark has {total} bytes; one automaton takes {max_bytes}: check it in parts")
-    items = sorted({(r[0], r[1]) for r in rows.collect()})
+    items = sorted({(r[0], r[1]) for r in rows.collect()}, key=lambda item: (item[0] is None, item[0] or "", item[1]))
     return hashlib.sha256(repr(items).encode()).hexdigest(), items
 
 
@@ -143,10 +147,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", na
 
 
 def contamination_digest(
-    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, without_id: bool = False
 ) -> DataFrame:
-    """Per document: words, words inside any occurrence of a window, and which items occur."""
-    items = load_items(benchmark)
+    """Per document: words, words inside any occurrence of a window, and which items occur.
+
+    Windows of items with a NULL id count only if `without_id` is set, and never among the items.
+    """
+    items = load_items(benchmark, without_id=without_id)
 
     def work(column):
         automaton, columns = _automaton(items, size), [[] for _ in range(5)]
@@ -166,9 +173,14 @@ def contamination_digest(
     return append_columns(docs.select(id, text), text, fields, work, drop=True)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The documents without any window of a test item, with their columns as they are."""
-    items, mark = load_items(benchmark), unused(docs, "_contaminated")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, without_id: bool = False
+) -> DataFrame:
+    """The documents without any window of a test item, with their columns as they are.
+
+    Items with a NULL id count only if `without_id` is set.
+    """
+    items, mark = load_items(benchmark, without_id=without_id), unused(docs, "_contaminated")
 
     def work(column):
         automaton = _automaton(items, size)

@@ -1,9 +1,11 @@
+import hashlib
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from screenflow.llm.decontamination import Automaton, benchmark_hits, contamination_digest, drop_contaminated, load_items, words
 
 PATTERN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -64,3 +66,19 @@ def test_whole_tables(spark, documents, no_documents, benchmark):
 def test_a_benchmark_above_the_bound_is_an_error(benchmark):
     with pytest.raises(ValueError):
         load_items(benchmark, max_bytes=10)
+
+
+def test_items_without_an_id_hit_when_asked_for(documents, benchmark):
+    found = contamination_digest(documents, benchmark, without_id=True).collect()
+    rows = {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in found}
+    assert {(1, 3, 0, True), (10, 3, 1, True), (3, 0, 0, False)} <= rows
+    none = [r["items_sha256"] for r in found if r["n_items"] == 0]
+    assert len(none) > 2 and set(none) == {hashlib.sha256(b"").hexdigest()}
+    kept = drop_contaminated(documents, benchmark, without_id=True)
+    assert kept.columns == documents.columns and kept.where("doc_id IN (1, 10)").count() == 0
+
+
+def test_the_pipeline_drops_passages_of_items_without_an_id(spark, documents, benchmark, tmp_path):
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, documents, str(tmp_path))
+    assert kept.where("doc_id IN (1, 10)").count() == 0 and kept.count() == documents.count() - 3
