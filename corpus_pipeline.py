@@ -12,7 +12,7 @@ from screenflow.llm.sentencepiece_codec import encode_checked
 from screenflow.llm.simhash import keep_one
 from screenflow.session import materialize
 
-LEAST_SCORE = 0.2  # below it a text is in none of the learned languages
+LEAST_SCORE = 0.2  # no text below it is taken, whatever the learned texts score
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

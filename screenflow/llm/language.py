@@ -20,6 +20,10 @@ from screenflow.llm.arrow import append_columns, small_batches, unused
 PROFILE = 300  # n-grams per profile
 MAX_LANGUAGES = 1000  # learned languages; more is an error
 UNKNOWN = "und"
+BEGINNINGS = [1 << i for i in range(9)]  # words of a taught text that stand for short texts
+QUANTILE = 0.01  # of the scores of taught texts with about as many n-grams
+MARGIN = 0.1  # below that quantile a text is in none of the learned languages
+LEAST_TEXTS = 20  # scores that a cut-off is taken from; with fewer, those of all languages are taken together
 _BITS = 21  # a code point
 _CHUNK = 1 << 17  # characters whose n-grams are counted at a time
 
@@ -131,18 +135,22 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score from 0 (nothing in place) to 1 (all in place)."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """The language, its score, and how many n-grams of the text were compared."""
         if not text or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         own = most_frequent(*counted(text), self.size)
         if not len(own):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         at = np.searchsorted(self.keys, own)
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == own
         ranks = self.ranks[np.where(known, at, len(self.keys))]
         away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))[:, None]))
         distance = away.sum(axis=0)
         best = int(np.argmin(distance))  # of equal distances the first language by name
-        return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(own))
+        return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(own)), len(own)
 
 
 def classifier(profiles: DataFrame, size: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> Classifier:
@@ -162,6 +170,47 @@ def with_language(docs: DataFrame, model: Classifier, text: str = "text", lang:
     return append_columns(docs, text, {lang: T.StringType(), score: T.DoubleType()}, work, drop)
 
 
+def beginnings(text: str) -> list[str]:
+    """The first 1, 2, 4, ... words of a text, and the whole."""
+    begun = text.split(None, BEGINNINGS[-1])
+    return [" ".join(begun[:n]) for n in BEGINNINGS if n < len(begun)] + [text]
+
+
+Cutoffs = dict[tuple[str | None, int], float]  # language (None: all), bits of the number of n-grams
+
+
+def fit_cutoffs(taught: DataFrame, model: Classifier, text: str = "text") -> Cutoffs:
+    """The least score of each language for texts of each size, from the scores of all taught texts.
+
+    A size is the number of bits of the number of compared n-grams. Beginnings of the taught texts
+    are scored like texts, so that short texts are measured against short ones.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.judge(part) for t in batch.column(0) for part in beginnings(t.as_py())]
+            rows = [(lang, n.bit_length(), round(1000 * value)) for lang, value, n in found if n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())],
+                names=["lang", "bits", "score"],
+            )
+
+    small_batches(taught)
+    rows = taught.where(F.col(text).isNotNull()).select(text).mapInArrow(score, "lang string, bits int, score int")
+    counts = rows.groupBy("lang", "bits", "score").agg(F.count(F.lit(1)).alias("n"))
+    # At most 1,001 distinct scores for each language and size.
+    low = counts.rollup("bits", "lang").agg(F.percentile("score", F.lit(QUANTILE), F.col("n")).alias("low"), F.sum("n").alias("n"))
+    found = low.where(F.col("bits").isNotNull() & (F.col("n") >= LEAST_TEXTS)).collect()
+    return {(r["lang"], r["bits"]): r["low"] / 1000 - MARGIN for r in found}
+
+
+def known(judged: tuple[str, float, int], cutoffs: Cutoffs, least: float) -> bool:
+    """Whether a text with this language, score and size is in a learned language."""
+    lang, score, n = judged
+    bits = n.bit_length()
+    return lang != UNKNOWN and score >= max(least, cutoffs.get((lang, bits), cutoffs.get((None, bits), least)))
+
+
 def held_out(id: str = "doc_id"):
     """Whether a document is kept out of learning: crc32 of its id as text, modulo 4, is 2 (NULL: as empty)."""
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -180,8 +229,17 @@ def language_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", lan
 
 
 def keep_known(docs: DataFrame, least: float, id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
-    """Documents in one of the learned languages: those with a letter and a score of at least `least`."""
-    model = classifier(fit_profiles(docs.select(id, text, lang).where(~held_out(id)), text, lang, size), size)
-    found, score = unused(docs, "_lang"), unused(docs, "_score")
-    marked = with_language(docs, model, text, found, score)
-    return marked.where((F.col(found) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    """Documents in one of the learned languages: with a letter and a score that its taught texts reach.
+
+    The score a text needs goes by its language and size (`fit_cutoffs`) and is never below `least`;
+    it is `least` where fewer than LEAST_TEXTS taught texts tell.
+    """
+    taught = docs.select(id, text, lang).where(~held_out(id))
+    model = classifier(fit_profiles(taught, text, lang, size), size)
+    cutoffs = fit_cutoffs(taught.where(F.col(lang).isNotNull()), model, text)
+    mark = unused(docs, "_known")
+
+    def work(column):
+        return [[known(model.judge(t), cutoffs, least) for t in column.to_pylist()]]
+
+    return append_columns(docs, text, {mark: T.BooleanType()}, work).where(F.col(mark)).select(*docs.columns)

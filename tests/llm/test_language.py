@@ -1,10 +1,11 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from screenflow.llm.language import Classifier, counted, fit_profiles, keep_known, language_digest, most_frequent
+from screenflow.llm.language import Classifier, counted, fit_cutoffs, fit_profiles, keep_known, known, language_digest, most_frequent
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -78,3 +79,34 @@ def test_whole_tables(documents, no_documents):
     kept = keep_known(documents, 0.2)
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} >= {1, 10, 5}
     assert not {r["doc_id"] for r in kept.collect()} & {2, 3, 4} and {r["_lang"] for r in kept.collect()} == {"own"}
+
+
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Alla människor är födda fria och lika i värde och rättigheter. De har utrustats med förnuft och samvete och bör handla gentemot varandra i en anda av gemenskap.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+]
+
+
+def test_noise_goes_and_clean_texts_stay_at_any_length(spark):
+    draw = random.Random(5)
+
+    def gibberish(n):
+        return " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(n))
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    noise = [gibberish(n) for n in (5, 10, 50, 500, 3000) for _ in range(10)]
+    noise += [" ".join(t.split()[:n]) for t in UNLEARNED for n in (10, 20, 40)]
+    clean = [" ".join(r["text"].split()[:n]) for r in docs.orderBy("doc_id").take(20) for n in (5, 10, 50)]
+    added = [(-1 - i, t, None) for i, t in enumerate(noise)] + [(-1001 - i, t, None) for i, t in enumerate(clean)]
+    kept = {r["doc_id"] for r in keep_known(docs.union(spark.createDataFrame(added, docs.schema)), 0.2).select("doc_id").collect()}
+    assert not [noise[-1 - i][:60] for i in kept if -1000 < i < 0]
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {-1001 - i for i in range(len(clean))}
+
+
+def test_few_taught_texts_leave_the_least_score(spark, documents):
+    model = Classifier([("en", i, int(k)) for i, k in enumerate(most_frequent(*counted("the house is by the river"), 300))], 300)
+    assert fit_cutoffs(documents.where("doc_id = 1"), model) == {}
+    assert known(("en", 0.2, 50), {}, 0.2) and not known(("en", 0.19, 50), {}, 0.2) and not known(("und", 0.0, 0), {}, 0.0)
+    assert not known(("en", 0.3, 50), {(None, 6): 0.4}, 0.2) and known(("en", 0.3, 50), {(None, 6): 0.4, ("en", 6): 0.25}, 0.2)
