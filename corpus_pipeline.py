@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from screenflow.llm.decontamination import drop_contaminated
 from screenflow.llm.language import keep_known
 from screenflow.llm.pii import redact_pii
+from screenflow.llm.queries import piece_model
 from screenflow.llm.sentencepiece_codec import encode_checked
 from screenflow.llm.simhash import keep_one
 from screenflow.session import materialize
 
 LEAST_SCORE = 0.2  # no text below it is taken, whatever the learned texts score
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, checked by decoding: `exact` tells whether the text comes back."""
-    return encode_checked(docs, PIECE_MODEL)
+    return encode_checked(docs, piece_model())
 
 
 STAGES = [

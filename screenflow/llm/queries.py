@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from screenflow.llm import chat as windows
@@ -17,8 +16,14 @@ from screenflow.llm.pii import pii_digest
 from screenflow.llm.sentencepiece_codec import codec_digest
 from screenflow.llm.simhash import near_duplicates
 from screenflow.llm.token_counts import count_tokens
+from screenflow.llm.variants import DAMAGE, LEAST_COUNT, LEAST_LENGTH, LETTERS, RATIO, spelling_variants
 
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+def piece_model() -> str:
+    """Where the vocabulary file is; asked for when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,7 +42,7 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of each text under the piece vocabulary, and the text they decode to."""
-    return codec_digest(table(spark, folder, "documents"), PIECE_MODEL)
+    return codec_digest(table(spark, folder, "documents"), piece_model())
 
 
 def licenses(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +52,7 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many tokens does each text have?"""
-    return count_tokens(table(spark, folder, "documents"), PIECE_MODEL)
+    return count_tokens(table(spark, folder, "documents"), piece_model())
 
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -80,6 +85,11 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
 
 
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Which frequent words are spelling variants of which?"""
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 def _values(rows) -> str:
     return ", ".join(f"({', '.join(repr(x) for x in row)})" for row in rows)
 
@@ -100,14 +110,21 @@ def _tree_sql(shards: int, name: str) -> str:
     return ",\n".join(parts)
 
 
-SHARDING_SQL = f"""
-WITH crc AS (
+CRC_TABLE = """crc AS (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
-              ORDER BY i) AS t FROM range(256) r(i)),
+              ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text next to CRC_TABLE."""
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"""
+
+
+SHARDING_SQL = f"""
+WITH {CRC_TABLE},
 sized AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
-         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
-                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32
   FROM documents, crc),
 keys AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
 {_tree_sql(8, "now")},
@@ -219,6 +236,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BI
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+VARIANTS_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(text, '{scans.UPPER}', '{scans.LOWER}'), '[{LETTERS}]+')) AS run FROM documents)
+  WHERE length(run) >= {LEAST_LENGTH} GROUP BY id, run),
+hashed AS (SELECT run, n, CAST({_crc_sql("id || ':' || run")} AS BIGINT) AS h FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM hashed)
+  WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+gaps AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT g.word AS w, o.word AS v FROM gaps g JOIN gaps o ON g.a = o.a AND g.b = o.b AND g.word <> o.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.a || g.b),
+counted AS (
+  SELECT w, count(*) AS n_near, max(n) AS top, arg_min(v, (-n, v)) AS best FROM near JOIN words ON word = v GROUP BY w),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {RATIO} * n THEN best END AS form,
+         CASE WHEN top >= {RATIO} * n THEN top END AS form_n
+  FROM words LEFT JOIN counted ON w = word),
+walk AS (
+  SELECT word, word AS here, 0 AS step FROM formed
+  UNION ALL SELECT walk.word, formed.form, step + 1 FROM walk JOIN formed ON formed.word = walk.here WHERE formed.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pii": (pii, None),
     "op2_sharding": (sharding, SHARDING_SQL),
@@ -230,4 +280,5 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op8_language": (language, None),
     "op9_simhash": (near_dedup, None),
     "op10_neighbours": (neighbours, None),
+    "op13_variants": (variants, VARIANTS_SQL),
 }
