@@ -10,6 +10,7 @@ from screenflow.llm import chat as windows
 from screenflow.llm import licenses as scans
 from screenflow.llm import sharding as tree
 from screenflow.llm.decontamination import contamination_digest
+from screenflow.llm.hard_negatives import hard_negatives
 from screenflow.llm.language import language_digest
 from screenflow.llm.neighbours import nearest
 from screenflow.llm.pii import pii_digest
@@ -85,6 +86,11 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
 
 
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Which rows of other labels come close to an anchor's nearest rows of its own?"""
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """Which frequent words are spelling variants of which?"""
     return spelling_variants(table(spark, folder, "documents"))
@@ -236,6 +242,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BI
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# Products of integers below 2^53 are exact in doubles.
+NEGATIVES_SQL = """
+WITH used AS MATERIALIZED (
+  SELECT row_number() OVER () AS u, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.u AS a, a.id AS anchor_id, r.id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM used a JOIN used r ON a.u <> r.u AND len(a.v) = len(r.v) WHERE a.id % 50 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM scored WHERE same QUALIFY k <= 5),
+windows AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.k ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM windows WHERE rank <= 3
+"""
+
 VARIANTS_SQL = f"""
 WITH RECURSIVE {CRC_TABLE},
 runs AS (
@@ -280,5 +307,6 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op8_language": (language, None),
     "op9_simhash": (near_dedup, None),
     "op10_neighbours": (neighbours, None),
+    "op11_hard_negatives": (negatives, NEGATIVES_SQL),
     "op13_variants": (variants, VARIANTS_SQL),
 }
