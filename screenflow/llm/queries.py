@@ -14,6 +14,7 @@ from screenflow.llm.hard_negatives import hard_negatives
 from screenflow.llm.language import language_digest
 from screenflow.llm.neighbours import nearest
 from screenflow.llm.pii import pii_digest
+from screenflow.llm.repeats import repeat_digest
 from screenflow.llm.sentencepiece_codec import codec_digest
 from screenflow.llm.simhash import near_duplicates
 from screenflow.llm.token_counts import count_tokens
@@ -91,6 +92,11 @@ def negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(table(spark, folder, "embeddings"))
 
 
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each text without the passages that occur elsewhere too?"""
+    return repeat_digest(table(spark, folder, "documents"))
+
+
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """Which frequent words are spelling variants of which?"""
     return spelling_variants(table(spark, folder, "documents"))
@@ -308,5 +314,6 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op9_simhash": (near_dedup, None),
     "op10_neighbours": (neighbours, None),
     "op11_hard_negatives": (negatives, NEGATIVES_SQL),
+    "op12_repeats": (repeats, None),
     "op13_variants": (variants, VARIANTS_SQL),
 }
