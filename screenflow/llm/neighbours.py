@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ SAMPLE_QUERIES = 512
 COVERED = 0.985  # share of the sample's true neighbours that lie within the radius
 BITS, SUBSTRINGS = 256, 16
 ITERATIONS = 12
-ROWS_PER_BLOCK = 8192
+ROWS_PER_TASK = 65_536
+ROWS_PER_BLOCK = 8192  # of a task's rows that share tables
 QUERIES_PER_BLOCK = 4096
+BLOCK_BYTES = 16 << 20  # vectors of one block of queries, as they are sent to the tasks
 _STEP = 256  # queries compared at a time
 SEED = 7
 
@@ -118,9 +121,8 @@ class Tables:
         return met
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), width)
 
 
 def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -131,59 +133,96 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _search(block: pa.Table, codes: Codes, k: int) -> pa.Table:
-    """The k best rows of the block for each of its queries, out of those within the radius."""
-    is_query = block["is_query"].to_numpy()
-    ids, vectors = block["vec_id"].to_numpy(), _matrix(block["vec"])
-    rows, row_ids = vectors[~is_query], ids[~is_query]
-    queries, query_ids = vectors[is_query], ids[is_query]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(rows) and len(queries):
-        tables, query_codes = Tables(codes.encode(rows, False)), codes.encode(queries, True)
-        for lo in range(0, len(queries), _STEP):
-            met = tables.within(query_codes[lo : lo + _STEP], codes.radius)
-            for i in range(len(met)):
-                found = np.flatnonzero(met[i])
-                found = found[row_ids[found] != query_ids[lo + i]]
-                scores = exact_scores(queries[lo + i], rows[found])
-                best = np.lexsort((row_ids[found], -scores))[:k]
-                out.append((np.full(len(best), query_ids[lo + i]), row_ids[found][best], scores[best]))
-    columns = [np.concatenate(x) if out else np.zeros(0) for x in (zip(*out) if out else [(), (), ()])]
-    return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2].astype(np.float64)})
+FOUND = "query long, query_id long, vec_id long, score double"
+
+
+@dataclass
+class Queries:
+    """A block of queries of one length, sent to the tasks."""
+
+    uid: np.ndarray
+    id: np.ndarray
+    vectors: np.ndarray
+    codes: Codes
+    k: int
+
+    def search(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of a task's rows for each query, out of those within the radius."""
+        width, wanted = self.vectors.shape[1], self.codes.encode(self.vectors, True)
+        best: tuple[np.ndarray, ...] = tuple(np.zeros(0, t) for t in (np.int64, np.float64, bool, np.int64))
+        for uids, ids, no_id, rows in _row_blocks(batches, width):
+            tables = Tables(self.codes.encode(rows, False))
+            for lo in range(0, len(wanted), _STEP):
+                met = tables.within(wanted[lo : lo + _STEP], self.codes.radius)
+                met &= self.uid[lo : lo + _STEP, None] != uids[None, :]
+                parts = [best]
+                for i in range(len(met)):
+                    found = np.flatnonzero(met[i])
+                    scores = exact_scores(self.vectors[lo + i], rows[found])
+                    if len(found) > self.k:
+                        enough = scores >= np.partition(scores, len(scores) - self.k)[-self.k]
+                        found, scores = found[enough], scores[enough]
+                    parts.append((np.full(len(found), lo + i), scores, no_id[found], ids[found]))
+                best = self._cut(*(np.concatenate(x) for x in zip(*parts)))
+        query, score, none, id = best
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(self.uid[query]), pa.array(self.id[query]), pa.array(id, mask=none), pa.array(score)],
+            names=["query", "query_id", "vec_id", "score"],
+        )
+
+    def _cut(self, query: np.ndarray, score: np.ndarray, none: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((id, none, -score, query))
+        first = np.searchsorted(query[order], query[order], side="left")
+        order = order[np.arange(len(order)) - first < self.k]
+        return query[order], score[order], none[order], id[order]
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of one length as (uid, id, id is NULL, vectors), ROWS_PER_BLOCK or so at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        batch = batch.filter(pc.equal(pc.list_value_length(batch.column("vec")), width))
+        if not batch.num_rows:
+            continue
+        ids = batch.column("vec_id")
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        held.append((batch.column("uid").to_numpy(), ids.fill_null(0).to_numpy(), none, _matrix(batch.column("vec"), width)))
+        size += batch.num_rows
+        if size >= ROWS_PER_BLOCK:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def usable(table: DataFrame, id: str, vector: str) -> DataFrame:
-    """`vec_id`, `vec` (doubles): one row per id, without vectors that cannot take part.
+    """`uid`, `vec_id`, `vec` (doubles): every row that takes part, told apart by `uid` where ids repeat or are NULL.
 
-    NULL, empty and zero vectors and those with NULL or non-finite components take no part, nor do
-    NULL ids. Rows with the same id count as one: the smallest vector in array order.
+    NULL, empty and zero vectors and those with NULL or non-finite components take no part.
     """
     numbers = F.transform(vector, lambda x: x.cast("double"))
-    rows = table.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("vec_id"), numbers.alias("vec"))
+    rows = table.select(F.monotonically_increasing_id().alias("uid"), F.col(id).cast("long").alias("vec_id"), numbers.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = rows.where(F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-
-
-def _blocks(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, codes: Codes, k: int) -> DataFrame:
-    """Every query against every row, block by block: each pair of blocks is one task's work."""
-    row_blocks, query_blocks = -(-n_rows // ROWS_PER_BLOCK), -(-n_queries // QUERIES_PER_BLOCK)
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, is_query: bool) -> DataFrame:
-        # Which block a row falls into does not matter, only that blocks are even.
-        return df.select(
-            "vec_id", "vec", F.lit(is_query).alias("is_query"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(n_own).cast("long")).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
-        )
-
-    both = dealt(rows, "rb", row_blocks, "qb", query_blocks, False).unionByName(
-        dealt(queries, "qb", query_blocks, "rb", row_blocks, True)
-    )
-    found = both.groupBy("rb", "qb").applyInArrow(
-        lambda block: _search(block, codes, k), "query_id long, vec_id long, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rows.where(F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0))
+
+
+def _search(rows: DataFrame, queries: DataFrame, n_queries: int, width: int, codes: Codes, k: int) -> DataFrame:
+    """The k best rows of every query, block of queries by block; rows stay where they are."""
+    size = min(QUERIES_PER_BLOCK, max(1, BLOCK_BYTES // (8 * width)))
+    blocks = -(-n_queries // size)
+    context, found = rows.sparkSession.sparkContext, None
+    for b in range(blocks):
+        chosen = queries.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == b).collect()  # one block: bounded above
+        if not chosen:
+            continue
+        uid, id, vec = (list(x) for x in zip(*((r["uid"], r["vec_id"], r["vec"]) for r in chosen)))
+        block = Queries(np.array(uid, np.int64), np.array(id, np.int64), np.array(vec, np.float64), codes, k)
+        sent = context.broadcast(block)
+        some = rows.mapInArrow(lambda batches, sent=sent: sent.value.search(batches), FOUND)
+        some = materialize(some) if blocks > 1 else some
+        found = some if found is None else found.unionByName(some)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -192,29 +231,31 @@ def nearest(
 ) -> DataFrame:
     """The k nearest other rows by inner product of each row whose id is divisible by `every`.
 
-    `query_id`, `rank` (from 1), `vec_id`, `score`; equal scores go to the smaller id. A query that
-    has fewer than k rows within the radius is compared with all rows. All vectors that take part
-    (see `usable`) must have the same length. An empty table gives no rows.
+    `query_id`, `rank` (from 1), `vec_id`, `score`; equal scores go to the smaller id, a NULL id last.
+    Every row of `usable` is a candidate, with or without an id, and rows that share an id are rows
+    (and queries) of their own. A query that has fewer than k rows within the radius is compared with
+    all rows. Vectors meet vectors of their own length only, each length with codes of its own. An
+    empty table gives no rows; other columns are not read.
     """
-    rows = materialize(usable(table, id, vector))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    spark = table.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // ROWS_PER_TASK))
+    rows = materialize(usable(table, id, vector).repartition(parts, "uid"))
+    asked = F.pmod("vec_id", F.lit(every)) == 0
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0), F.max(norm2), F.min(F.size("vec")), F.max(F.size("vec"))).first()
-    n_rows, n_queries, longest, low, high = facts
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n_queries or n_rows < 2:
-        return table.sparkSession.createDataFrame([], schema)
-    if low != high:
-        raise ValueError(f"vectors of {low} to {high} components")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()
-    codes = learn(np.array([r[0] for r in sample], np.float64), longest, k, covered)
-    found = materialize(_blocks(rows, queries, n_rows, n_queries, codes, k))
-    wanted = min(k, n_rows - 1)
-    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted)
-    short = materialize(queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
-    n_short = short.count()
-    if n_short:
-        everything = Codes(codes.centre, codes.norm2, codes.rotation, BITS)
-        again = _blocks(rows, short, n_rows, n_short, everything, k)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    facts = rows.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"), F.count_if(asked).alias("q"), F.max(norm2).alias("longest"))
+    results = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width, n_rows, n_queries, longest in sorted(facts.where("q > 0 AND n > 1").collect()):  # one row per length
+        mine = rows.where(F.size("vec") == width)
+        queries = mine.where(asked)
+        sample = mine.orderBy(F.xxhash64("vec"), "vec_id").limit(SAMPLE).select("vec").collect()
+        codes = learn(np.array([r[0] for r in sample], np.float64), longest, k, covered)
+        found = materialize(_search(mine, queries, n_queries, width, codes, k))
+        enough = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n_rows - 1))
+        short = materialize(queries.join(enough, F.col("uid") == F.col("query"), "left_anti"))
+        n_short = short.count()
+        if n_short:
+            everything = Codes(codes.centre, codes.norm2, codes.rotation, BITS)
+            again = _search(mine, short, n_short, width, everything, k)
+            found = found.join(short.select(F.col("uid").alias("query")), "query", "left_anti").unionByName(again.select(found.columns))
+        results = results.unionByName(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return results

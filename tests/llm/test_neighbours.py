@@ -45,16 +45,29 @@ def test_recall_and_order(spark):
         assert all(abs(s - sum(a * b for a, b in zip(rows[q], rows[i]))) < 1e-12 for i, s in f)
 
 
+def plain_rows(rows, k=20, every=20):
+    """As `plain`, for rows whose ids may repeat or be NULL: one list per query row."""
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if q is not None and q % every == 0:
+            others = [(-sum(a * b for a, b in zip(v, w)), x is None, x or 0, x) for j, (x, w) in enumerate(rows) if j != i and len(w) == len(v)]
+            out += [(q, rank, o[3], -o[0]) for rank, o in enumerate(sorted(others, key=lambda o: o[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
 def test_whole_tables(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [
-        (0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [-1.0, 0.5]), (3, [-1.0, 0.5]), (4, [0.0, 0.0]),
-        (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (40, None), (60, []), (9, [0.5, 0.5]),
+    valid = [
+        (0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [-1.0, 0.5]), (3, [-1.0, 0.5]), (3, [5.0, 0.0]),
+        (None, [1.0, 1.0]), (None, [4.0, 0.0]), (9, [0.5, 0.5]), (40, [1.0, 0.0]), (40, [0.0, 1.0]), (40, [1.0, 2.0, 3.0]),
+        (60, [1.0, 0.0, 0.0]), (61, [0.0, 1.0, 1.0]), (80, [1.0]),
     ]
-    table = spark.createDataFrame([(*r, "own") for r in rows], "vec_id long, embedding array<double>, score string")
-    valid = {0: [1.0, 0.0], 20: [0.0, 2.0], 1: [3.0, 0.0], 2: [3.0, 0.0], 3: [-1.0, 0.5], 9: [0.5, 0.5]}
-    assert got(nearest(table)) == plain(valid)
-    assert got(nearest(table, k=2, covered=1.0)) == plain(valid, k=2)
+    rows = valid + [(4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (40, None), (60, [])]
+    table = spark.createDataFrame([(*r, "own", 1) for r in rows], "vec_id long, embedding array<double>, score string, uid int")
+    columns = ("query_id", "rank", "vec_id", "score")
+    for k in (2, 20):
+        found = sorted((tuple(r[c] for c in columns) for r in nearest(table.repartition(3), k=k, covered=1.0).collect()), key=str)
+        assert found == plain_rows(valid, k=k)
     assert nearest(table.limit(0)).count() == 0 and nearest(table.where("vec_id = 0")).count() == 0
 
 
@@ -68,7 +81,11 @@ def test_queries_with_few_hits_are_compared_with_all_rows(spark):
     assert narrow
 
 
-def test_vectors_of_different_length_are_an_error(spark):
-    table = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        nearest(table)
+def test_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(50)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    columns = ("query_id", "rank", "vec_id")
+    monkeypatch.setattr("screenflow.llm.neighbours.QUERIES_PER_BLOCK", 4)
+    found = sorted(tuple(r[c] for c in columns) for r in nearest(table, k=3, every=5, covered=1.0).collect())
+    assert found == sorted(r[:3] for r in plain_rows(rows, 3, 5))
