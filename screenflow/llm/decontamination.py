@@ -3,28 +3,38 @@
 Words are runs of ASCII letters (lower-cased), digits and characters outside ASCII. A window is 10
 consecutive words of an item; a shorter item is one window. Windows and texts are normalised to
 words with single blanks, so an occurrence of a window is one match of its string.
+
+An automaton takes some 450 bytes per byte of test text, so a benchmark above MAX_BYTES is dealt into
+groups of items with an automaton each. Texts are then scanned once per group, and what the groups
+find in a text is united under the digest of that text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from screenflow.llm.arrow import append_columns, unused
+from screenflow.functions.skew import salted_join
+from screenflow.llm.arrow import append_columns, small_batches, unused
+from screenflow.session import materialize
 
 WINDOW = 10
-MAX_BYTES = 4 << 20  # test text that one automaton may hold (some hundred MB as an automaton); more is an error
+MAX_BYTES = 512 << 10  # test text that one automaton holds (then some 230 MB)
 
 _WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Upper case to lower case, what is in no word to a blank.
 _NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-_AUTOMATA: dict[int, Automaton] = {}
+_AUTOMATA: dict[tuple[str, int], Automaton] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -71,14 +81,8 @@ class Automaton:
             kinds.add(k)
         if not found:
             return [], set()
-        joined: list[list[int]] = []
-        for start, end in sorted(found):  # from blank to blank; stretches that touch are one
-            if joined and start <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], end)
-            else:
-                joined.append([start, end])
         stretches, at, before = [], 0, 0
-        for start, end in joined:
+        for start, end in joined(found):  # from blank to blank; stretches that touch are one
             before += text.count(" ", at, start)
             inside = text.count(" ", start, end)
             stretches.append((before, before + inside))
@@ -86,11 +90,22 @@ class Automaton:
         return stretches, {name for k in kinds for name in self.owners[k] if name is not None}
 
 
+def joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(stretches):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 Items = tuple[str, list[tuple[str | None, str]]]  # digest, (item id as text, text)
 
 
 def _automaton(items: Items, size: int) -> Automaton:
-    """The automaton of the items, built once per Python worker."""
+    """The automaton of a group of items, built once per Python worker that scans with it."""
     key = (items[0], size)
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
@@ -98,26 +113,49 @@ def _automaton(items: Items, size: int) -> Automaton:
     return _AUTOMATA[key]
 
 
-def load_items(
-    benchmark: DataFrame, id: str = "item_id", text: str = "text", max_bytes: int = MAX_BYTES, without_id: bool = False
-) -> Items:
-    """The items on the driver, after a check that all of them together have at most `max_bytes`.
+def item_parts(item: list[bytes], size: int, most: int) -> list[str]:
+    """The words of an item as texts of at most some `most` bytes that have all its windows between them."""
+    parts, start = [], 0
+    while True:
+        end, room = start, most
+        while end < len(item) and (room > 0 or end - start < size):
+            room -= len(item[end]) + 1
+            end += 1
+        parts.append(b" ".join(item[start:end]).decode())
+        if end >= len(item):
+            return parts
+        start = end - size + 1
+
+
+def item_groups(
+    benchmark: DataFrame, id: str = "item_id", text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES
+) -> Iterator[Items]:
+    """The items in groups of some `max_bytes` of text, one group on the driver at a time.
 
-    NULL texts have no words. Items with a NULL id are left out, unless `without_id` is set: then
-    their windows hit like any other and only the list of ids leaves them out.
+    NULL texts have no words. Items with a NULL id belong to the groups like any other; they hit, but
+    no list of ids names them.
     """
-    told = F.col(text).isNotNull() if without_id else F.col(id).isNotNull() & F.col(text).isNotNull()
-    rows = benchmark.where(told).select(F.col(id).cast("string"), text)
-    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(id).cast("string").alias("name"), F.col(text).alias("item"))
+    total = rows.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    groups = 1
     if total > max_bytes:
-        raise ValueError(f"the benchmark has {total} bytes; one automaton takes {max_bytes}: check it in parts")
-    items = sorted({(r[0], r[1]) for r in rows.collect()}, key=lambda item: (item[0] is None, item[0] or "", item[1]))
-    return hashlib.sha256(repr(items).encode()).hexdigest(), items
+        # Halves, so that chance does not lift a group far above the bound; no item is larger than one.
+        groups = -(-2 * total // max_bytes)
 
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(n, p) for n, t in zip(*(c.to_pylist() for c in batch.columns)) for p in item_parts(words(t), size, max_bytes // 4)]
+                columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "item"])
 
-HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+        rows = materialize(rows.mapInArrow(cut, "name string, item string"))
+    for k in range(groups):
+        some = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("name", "item"), F.lit(groups)) == k)
+        items = sorted({(r[0], r[1]) for r in some.collect()}, key=lambda item: (item[0] is None, item[0] or "", item[1]))
+        yield hashlib.sha256(repr(items).encode()).hexdigest(), items
 
 
+HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 def _offsets(text: str, stretches: list[tuple[int, int]]) -> list[dict]:
     """Word stretches as code point offsets in the text itself."""
     raw = text.encode()
@@ -131,60 +169,113 @@ def _offsets(text: str, stretches: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits", size: int = WINDOW) -> DataFrame:
+Answer = Callable[[str | None, list[tuple[int, int]], set[str]], tuple]
+
+
+def _scanned(
+    docs: DataFrame, benchmark: DataFrame, text: str, size: int, max_bytes: int, fields: dict[str, T.DataType], answer: Answer, drop: bool = False
+) -> DataFrame:
+    """Add `fields`: the answer for (text, hit stretches of words, ids of items) of every row."""
+    groups = item_groups(benchmark, size=size, max_bytes=max_bytes)
+    first, second = next(groups), next(groups, None)
+    if second is not None:
+        return _united(docs, itertools.chain([first, second], groups), text, size, fields, answer, drop)
+
+    def work(column: pa.Array) -> list[list]:
+        automaton = _automaton(first, size)
+        rows = [answer(t, *automaton.scan(words(t))) for t in column.to_pylist()]
+        return [list(c) for c in zip(*rows)] or [[] for _ in fields]
+
+    return append_columns(docs, text, fields, work, drop)
+
+
+def _united(
+    docs: DataFrame, groups: Iterator[Items], text: str, size: int, fields: dict[str, T.DataType], answer: Answer, drop: bool
+) -> DataFrame:
+    """As `_scanned`, with a scan per group: texts with hits meet what each group found under their digest."""
+    key, copies, both, found = (unused(docs, name) for name in ("_key", "_copies", "_both", "_found"))
+    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    texts = docs.select(digest.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    small_batches(docs)
+    schema = "key string, hits array<struct<start:bigint,end:bigint>>, items array<string>"
+    kinds = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields]
+
+    def scan(items: Items) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                automaton, rows = _automaton(items, size), []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    stretches, names = automaton.scan(words(t))
+                    if stretches:
+                        rows.append((k, [{"start": a, "end": b} for a, b in stretches], sorted(names)))
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "hits", "items"])
+
+        return run
+
+    every = None
+    for items in groups:
+        part = materialize(texts.mapInArrow(scan(items), schema))
+        every = part if every is None else every.unionByName(part)
+    # Copies of a text have the same hits, so a text has one element per group.
+    per_text = every.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("hits", "items")).alias(found), F.count(F.lit(1)).alias(copies))
+    keyed = docs.withColumn(key, digest)
+    id_like = [c for c, kind in docs.dtypes if not kind.startswith("map") and c != text] or [text]
+    wide = salted_join(keyed, per_text, [key], copies, id_like, "left").drop(copies, key)
+    wide = wide.withColumn(both, F.struct(F.col(text).alias("text"), F.col(found).alias("found"))).drop(found)
+
+    def work(column: pa.StructArray) -> list[list]:
+        rows = []
+        for t, parts in zip(column.field(0).to_pylist(), column.field(1).to_pylist()):
+            stretches = joined([(h["start"], h["end"]) for part in parts or () for h in part["hits"]])
+            rows.append(answer(t, stretches, {name for part in parts or () for name in part["items"]}))
+        return [list(c) for c in zip(*rows)] or [[] for _ in fields]
+
+    out = append_columns(wide, both, fields, work, drop=True)
+    return out.drop(text) if drop else out
+
+
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits", size: int = WINDOW, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """Add where windows of test items occur: stretches (start, end) in code points of each text.
 
-    NULL and empty texts have none. Rows are independent; other columns pass through unless they
-    bear the name of the new one. An empty benchmark hits nothing.
+    Items with a NULL id hit like any other; items with a NULL or wordless text never do. NULL and
+    empty texts have no hits. Rows are independent; other columns pass through unless they bear the
+    name of the new one. An empty benchmark hits nothing, one of any size is taken in groups.
     """
-    items = load_items(benchmark)
 
-    def work(column):
-        automaton = _automaton(items, size)
-        return [[_offsets(t, found) if t and (found := automaton.scan(words(t))[0]) else [] for t in column.to_pylist()]]
+    def answer(t, stretches, _):
+        return (_offsets(t, stretches) if stretches else [],)
 
-    return append_columns(docs, text, {name: HITS}, work)
+    return _scanned(docs, benchmark, text, size, max_bytes, {name: HITS}, answer)
 
 
 def contamination_digest(
-    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, without_id: bool = False
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
     """Per document: words, words inside any occurrence of a window, and which items occur.
 
-    Windows of items with a NULL id count only if `without_id` is set, and never among the items.
+    Items with a NULL id hit, but are not among the items, which are counted by their distinct ids.
+    NULL and empty texts have no words; repeated rows are returned as often as they occur; tables
+    without rows give none, or no hits.
     """
-    items = load_items(benchmark, without_id=without_id)
-
-    def work(column):
-        automaton, columns = _automaton(items, size), [[] for _ in range(5)]
-        for t in column.to_pylist():
-            document = words(t)
-            stretches, names = automaton.scan(document)
-            n_hit = sum(end - start for start, end in stretches)
-            values = len(document), n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0
-            for c, v in zip(columns, values):
-                c.append(v)
-        return columns
+
+    def answer(t, stretches, names):
+        n_hit = sum(end - start for start, end in stretches)
+        return len(words(t)), n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0
 
     fields = {
         "n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(),
         "items_sha256": T.StringType(), "contaminated": T.BooleanType(),
     }
-    return append_columns(docs.select(id, text), text, fields, work, drop=True)
+    return _scanned(docs.select(id, text), benchmark, text, size, max_bytes, fields, answer, drop=True)
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, without_id: bool = False
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
-    """The documents without any window of a test item, with their columns as they are.
-
-    Items with a NULL id count only if `without_id` is set.
-    """
-    items, mark = load_items(benchmark, without_id=without_id), unused(docs, "_contaminated")
-
-    def work(column):
-        automaton = _automaton(items, size)
-        return [[bool(automaton.scan(words(t))[0]) for t in column.to_pylist()]]
-
-    marked = append_columns(docs, text, {mark: T.BooleanType()}, work)
-    return marked.where(~F.col(mark)).drop(mark)
+    """The documents without any window of a test item, with or without an id; their columns as they are."""
+    mark = unused(docs, "_contaminated")
+    marked = _scanned(docs, benchmark, text, size, max_bytes, {mark: T.BooleanType()}, lambda t, stretches, _: (bool(stretches),))
+    return marked.where(~F.col(mark)).select(*docs.columns)

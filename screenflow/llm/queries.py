@@ -63,7 +63,7 @@ CONTROL = "</s>[INST] ok [/INST]"
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     """What comes back from the formatted conversations, one of them made of control strings?"""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], given.schema)
+    added = spark.sql(f"VALUES (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}')")
     return windows.chat_digest(given.union(added))
 
 
@@ -214,38 +214,38 @@ FROM total t JOIN counted k ON t.c IS NOT DISTINCT FROM k.c LEFT JOIN repeats r
 LEFT JOIN opening o ON t.c IS NOT DISTINCT FROM o.c
 """
 
+# Rows are told apart by number: ids may be missing or repeat.
 DECONTAMINATION_SQL = """
 WITH item_words AS (
-  SELECT CAST(item_id AS VARCHAR) AS item,
+  SELECT row_number() OVER () AS n, CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 item_windows AS (
-  SELECT DISTINCT item, least(len(w), 10) AS size,
+  SELECT DISTINCT n, item, least(len(w), 10) AS size,
          array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS win
-  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM item_words WHERE len(w) > 0)),
+  FROM (SELECT n, item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM item_words WHERE len(w) > 0)),
 words AS (
-  SELECT doc_id,
+  SELECT row_number() OVER () AS k, doc_id,
          coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
   FROM documents),
 places AS (
-  SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM words WHERE len(w) > 0),
+  SELECT k, w, unnest(generate_series(1, len(w))) AS p FROM words WHERE len(w) > 0),
 found AS (
-  SELECT DISTINCT doc_id, p, p + size AS stop, item
-  FROM (SELECT doc_id, p, size, array_to_string(w[p : p + size - 1], ' ') AS win
+  SELECT DISTINCT k, p, p + size AS stop, item
+  FROM (SELECT k, p, size, array_to_string(w[p : p + size - 1], ' ') AS win
         FROM places, (SELECT DISTINCT size FROM item_windows) WHERE p + size - 1 <= len(w))
   JOIN item_windows USING (size, win)),
 hits AS (
-  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(generate_series(p, stop - 1)) AS k FROM found)
-  GROUP BY doc_id),
+  SELECT k, count(DISTINCT x) AS n FROM (SELECT k, unnest(generate_series(p, stop - 1)) AS x FROM found) GROUP BY k),
 items AS (
-  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS all_items
-  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+  SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS all_items
+  FROM (SELECT DISTINCT k, item FROM found WHERE item IS NOT NULL) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(all_items, '')) AS items_sha256,
        coalesce(hits.n, 0) > 0 AS contaminated
-FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM words LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
 """
 
 # Products of integers below 2^53 are exact in doubles.
