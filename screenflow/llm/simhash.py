@@ -193,17 +193,27 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """The documents, each near-duplicate group reduced to the one with the smallest id.
+    """The documents, each near-duplicate group reduced to one: the smallest id, of its rows the smallest digest.
 
-    Of repeated rows of that id one stays (the same fingerprint, whichever is met first). In a group
-    without ids one document stays. Groups are told apart by their texts: an id that is the smallest
-    of several groups stays in each of them.
+    Digests are those of the text, then of the whole row; of rows that are equal in all columns one
+    stays. In a group without ids one document stays. Groups are told apart by their texts: an id
+    that is the smallest of several groups stays in each of them. Which row stays does not depend on
+    the order or partitioning of the table. Texts are shuffled once, to meet the choice.
     """
-    mark, kept_print, wanted = (unused(docs, name) for name in ("_fingerprint", "_kept", "_wanted"))
-    marked = with_fingerprint(docs, text, mark)
-    prints = materialize(marked.select(id, F.col(mark).alias("fingerprint")))
-    kept = _labelled(prints, id, distance).where(F.col("first").eqNullSafe(F.col("component_id")))
-    one = kept.groupBy("root").agg(F.min("fingerprint").alias(kept_print), F.min("first").alias(wanted)).drop("root")
-    same = (F.col(mark) == F.col(kept_print)) & F.col(id).eqNullSafe(F.col(wanted))
-    survivors = marked.join(one, same).drop(kept_print, wanted)
-    return survivors.dropDuplicates([mark, id]).select(*docs.columns)
+    names = ("_fingerprint", "_row", "_id", "_no_id")
+    mark, row, key, no_key = (unused(docs, name) for name in names)
+    comparable = [F.col(f.name) for f in docs.schema.fields if f.name.lower() != text.lower()]
+    # A row by its text, then by all it has; the id without NULLs, so that it can be joined on.
+    digest = F.concat(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.sha2(F.to_json(F.struct(F.col(text).isNull().alias("t"), *[c.alias(f"c{i}") for i, c in enumerate(comparable)])), 256))
+    same_id = F.coalesce(F.col(id).cast("string"), F.lit(""))
+    marked = with_fingerprint(docs, text, mark).withColumns({row: digest, key: same_id, no_key: F.col(id).isNull()})
+    prints = materialize(marked.select(F.col(id).alias("id"), F.col(mark).alias("fingerprint"), F.col(row).alias("row")))
+    kept = _labelled(prints, "id", distance).where(F.col("first").eqNullSafe(F.col("component_id")))
+    one = kept.groupBy("root").agg(F.min("fingerprint").alias("fingerprint"), F.min("first").alias("wanted")).drop("root")
+    # Rows under the chosen fingerprint and id: the smallest digest of each choice.
+    rows = prints.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit(""))).groupBy("fingerprint", F.col("id").isNull().alias("no_key"), "key").agg(F.min("row").alias("row"))
+    wanted = one.select("fingerprint", F.col("wanted").isNull().alias("no_key"), F.coalesce(F.col("wanted").cast("string"), F.lit("")).alias("key"))
+    chosen = rows.join(wanted, ["fingerprint", "no_key", "key"]).toDF(mark, no_key, key, row)
+    on = [mark, no_key, key, row]
+    # The join leaves rows dealt out by what repeats are dropped on.
+    return marked.join(chosen, on, "left_semi").dropDuplicates(on).select(*docs.columns)

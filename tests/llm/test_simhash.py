@@ -114,3 +114,19 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"] or -1, r["text"] or "") for r in keep_one(docs).collect()]
     assert sorted(kept) == [(-1, tower), (-1, river), (7, "a b c"), (7, "quite another text than that"), (9, "")]
+
+
+def test_which_row_stays_does_not_depend_on_order(spark):
+    rows = [(1, "a b c d e", "x"), (1, "A B c d e", "x"), (1, "a b c d e", "y"), (2, "a b c d e", "x"), (None, "q r s t", "x"), (None, "Q r s t", "x")]
+    kept = set()
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for parts in (1, 3):
+            docs = spark.createDataFrame(some, "doc_id long, text string, source string").repartition(parts)
+            kept.add(tuple(sorted(map(str, map(tuple, keep_one(docs).collect())))))
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
+def test_documents_like_all_pairs_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = [(r["doc_id"], plain_fingerprint(r["text"])) for r in docs.collect()]
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()) == plain_components(prints)
