@@ -32,9 +32,9 @@ from screenflow.session import materialize
 WIDTH = 400
 HASHED = 8  # bytes under the rolling hash
 CORE = 64  # bytes from the trigger on that make its key
-MAX_GROUP = 20_000  # distinct phrases of one key that are ordered together
+MAX_GROUP = 1_000  # distinct phrases of one key that are ordered together
 _PIECE = 4 << 20  # bytes parsed at a time
-_SORTED = 2 << 20  # bytes of phrases ordered at a time, plus those of one key
+_SORTED = 1 << 20  # bytes of phrases ordered at a time, plus those of one key
 _BITS = 24  # of a place inside a piece, below the hash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _DONE, _PHRASE = 0, 1  # rows of the parse: windows known to repeat; a phrase, once per batch
@@ -157,16 +157,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def window_ranks(data: bytes, windows: np.ndarray, width: int) -> np.ndarray:
     """Rank of the window at each of these places: the order of the suffixes to the depth of a window.
 
-    Prefix doubling: ranks of strings of 8 bytes, then of 16 and so on, from pairs of ranks.
+    Ranks of strings of 8 bytes, then of two or three times as many and so on, from ranks of their parts.
     """
     room = data + bytes(2 * width)
     depth = min(8, 1 << (width.bit_length() - 1))
-    kind = f">u{depth}"
-    ranks = np.unique(np.ndarray(len(room) - 8, kind, room, strides=(1,)), return_inverse=True)[1].astype(np.int64)
-    while 2 * depth <= width:
-        ranks = np.unique(ranks[:-depth] * len(room) + ranks[depth:], return_inverse=True)[1]
-        depth *= 2
-    return np.unique(ranks[windows] * len(room) + ranks[windows + width - depth], return_inverse=True)[1]
+    ranks = np.unique(np.ndarray(len(room) - 8, f">u{depth}", room, strides=(1,)), return_inverse=True)[1].astype(np.int64)
+    while depth < width:
+        n = int(ranks.max(initial=0)) + 1
+        three = n**3 < 2**63
+        reach = min(width, (3 if three else 2) * depth)
+        at = windows if reach == width else np.arange(len(ranks) - reach + depth)
+        # The last part may overlap the one before it: strings equal so far first differ inside it.
+        joined = ranks[at] * n + ranks[at + depth] if three else ranks[at]
+        ranks = np.unique(joined * n + ranks[at + reach - depth], return_inverse=True)[1]
+        depth = reach
+        if reach == width:
+            return ranks
+    return np.unique(ranks[windows], return_inverse=True)[1]
 
 
 def _repeated(rows: list[tuple], width: int) -> list[tuple]:
@@ -308,7 +315,8 @@ def repeat_spans(
     keyed = docs.drop(name).withColumn(u, _text_key_column(F.col(text)))
     number = keyed.groupBy(u).agg(F.count(F.lit(1)).alias(copies))
     per_text = starts.groupBy(F.col("u").alias(u)).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias(name))
-    joined = salted_join(keyed, per_text.join(number, u), [u], copies, [id], "left").drop(u, copies)
+    per_text = materialize(per_text.join(number, u))  # read twice
+    joined = salted_join(keyed, per_text, [u], copies, [id], "left").drop(u, copies)
     return _with_stretches(joined, name, width)
 
 
