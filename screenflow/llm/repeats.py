@@ -164,7 +164,7 @@ def window_ranks(data: bytes, windows: np.ndarray, width: int) -> np.ndarray:
     ranks = np.unique(np.ndarray(len(room) - 8, f">u{depth}", room, strides=(1,)), return_inverse=True)[1].astype(np.int64)
     while depth < width:
         n = int(ranks.max(initial=0)) + 1
-        three = n**3 < 2**63
+        three = n**3 < 2**63 and width > 2 * depth
         reach = min(width, (3 if three else 2) * depth)
         at = windows if reach == width else np.arange(len(ranks) - reach + depth)
         # The last part may overlap the one before it: strings equal so far first differ inside it.
