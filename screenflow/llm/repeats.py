@@ -33,7 +33,7 @@ WIDTH = 400
 HASHED = 8  # bytes under the rolling hash
 CORE = 64  # bytes from the trigger on that make its key
 MAX_GROUP = 1_000  # distinct phrases of one key that are ordered together
-_PIECE = 4 << 20  # bytes parsed at a time
+_PIECE = 1 << 20  # bytes parsed at a time
 _SORTED = 1 << 20  # bytes of phrases ordered at a time, plus those of one key
 _BITS = 24  # of a place inside a piece, below the hash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -256,7 +256,7 @@ def _window_rows(width: int) -> Callable:
                 for o in range(high - low + 1):
                     d = _digest(content[o : o + width])
                     rows.append((_signed(d[:8]), _signed(d[8:]), weight, u, low + o))
-                if len(rows) > 100_000:
+                if len(rows) > 20_000:
                     yield _out(rows, names, kinds)
                     rows = []
             yield _out(rows, names, kinds)
@@ -320,19 +320,26 @@ def repeat_spans(
     return _with_stretches(joined, name, width)
 
 
-def _stretches(starts: list[dict] | None, width: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for x in starts or ():
-        if out and x["low"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x["high"] + width)
-        else:
-            out.append([x["low"], x["high"] + width])
-    return [(a, b) for a, b in out]
+def joined_stretches(starts: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the covered stretches; `starts` has sorted (low, high) of windows' beginnings per row."""
+    sizes = np.diff(starts.offsets.to_numpy())
+    flat = starts.flatten()
+    low, high = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    row = np.repeat(np.arange(len(sizes)), np.where(starts.is_null().to_numpy(zero_copy_only=False), 0, sizes))
+    far = int(high.max(initial=0)) + width + 1  # rows are laid end to end, so that one running maximum does
+    reach = np.maximum.accumulate(row * far + high + width)
+    new = np.r_[True, row[1:] * far + low[1:] > reach[:-1]] if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(row)][: len(first)] - 1
+    return row[first], low[first], reach[last] - row[first] * far
 
 
 def _with_stretches(joined: DataFrame, name: str, width: int) -> DataFrame:
     def work(column: pa.Array) -> list[list]:
-        return [[[{"start": a, "end": b} for a, b in _stretches(v, width)] for v in column.to_pylist()]]
+        out: list[list[dict]] = [[] for _ in range(len(column))]
+        for row, start, end in zip(*(x.tolist() for x in joined_stretches(column, width))):
+            out[row].append({"start": start, "end": end})
+        return [out]
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     return append_columns(joined, name, {name: spans}, work)
