@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row: the tables' text files have a single row group."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import LINES, Case, documents, lines, one_line, rounded, table, token_list
+from catalog.common import LINES, Case, documents, lines, one_line, parts, rounded, table, token_list
 from screenflow.functions import text as tx
 from screenflow.operators import ngrams, sequences
 from screenflow.operators.sampling import split_exact
@@ -19,7 +19,7 @@ def _vocabulary(spark, sf) -> DataFrame:
 
 
 def _encoded(spark, sf) -> DataFrame:
-    return sequences.encode(lines(spark, sf), "text", _vocabulary(spark, sf), "doc_id")
+    return sequences.encode(lines(spark, sf), "text", _vocabulary(spark, sf), "doc_id", parts=parts(spark))
 
 
 def _joined(column: str):
@@ -47,9 +47,9 @@ def padded(spark, sf) -> DataFrame:
 
 def decoded(spark, sf) -> DataFrame:
     vocabulary = _vocabulary(spark, sf)
-    encoded = sequences.encode(lines(spark, sf), "text", vocabulary, "doc_id")
-    both = sequences.decode(encoded, "ids", vocabulary, "doc_id")
-    both = sequences.decode(both, "ids", vocabulary, "doc_id", out="known_only", skip_unknown=True)
+    encoded = sequences.encode(lines(spark, sf), "text", vocabulary, "doc_id", parts=parts(spark))
+    both = sequences.decode(encoded, "ids", vocabulary, "doc_id", parts=parts(spark))
+    both = sequences.decode(both, "ids", vocabulary, "doc_id", out="known_only", skip_unknown=True, parts=parts(spark))
     return both.select("doc_id", F.md5("decoded").alias("decoded"), F.md5("known_only").alias("known_only"))
 
 
@@ -95,12 +95,12 @@ SELECT role, CAST(SUM(n) AS BIGINT) AS n_tokens, ROUND(SUM(-ln(p) * n) / SUM(n),
 
 
 def fitted(spark, sf) -> DataFrame:
-    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER)
+    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER, parts(spark))
     return model.select("length", F.array_join("context", "").alias("context"), "next", "count")
 
 
 def scored(spark, sf) -> DataFrame:
-    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER)
+    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER, parts(spark))
     return rounded(ngrams.score_sequences(_conversation_lines(spark, sf), "text", model, "role", ORDER), "mean_loss")
 
 
@@ -147,12 +147,12 @@ WHERE array_to_string({token_list()}, '') = text""",
         f"SELECT doc_id FROM documents WHERE coalesce(array_to_string({token_list()}, '') <> text, true)",
     ),
     "token_frequency": (
-        lambda spark, sf: rounded(sequences.token_frequency(lines(spark, sf), "text"), "fraction", digits=9),
+        lambda spark, sf: rounded(sequences.token_frequency(lines(spark, sf), "text", parts(spark)), "fraction", digits=9),
         f"""WITH {LINES}, one AS (SELECT unnest({token_list()}) AS token FROM lines)
 SELECT token, COUNT(*) AS count, ROUND(COUNT(*) / (SELECT COUNT(*) FROM one), 9) AS fraction FROM one GROUP BY token""",
     ),
     "build_vocabulary": (
-        lambda spark, sf: sequences.build_vocabulary(lines(spark, sf), "text"),
+        lambda spark, sf: sequences.build_vocabulary(lines(spark, sf), "text", parts(spark)),
         f"""WITH {LINES} SELECT * FROM (VALUES ('<PAD>', 0), ('<BOS>', 1), ('<EOS>', 2), ('<UNK>', 3)) v(token, id)
 UNION ALL SELECT token, CAST(3 + ROW_NUMBER() OVER (ORDER BY token) AS INTEGER)
 FROM (SELECT DISTINCT unnest({token_list()}) AS token FROM lines)""",
@@ -188,7 +188,7 @@ FROM lines LEFT JOIN names USING (doc_id)""",
 md5(array_to_string(list_slice(ids, 2, len(ids)), ',')) AS target FROM encoded""",
     ),
     "roundtrip_check": (
-        lambda spark, sf: sequences.roundtrip_check(lines(spark, sf), "text", _vocabulary(spark, sf), "doc_id"),
+        lambda spark, sf: sequences.roundtrip_check(lines(spark, sf), "text", _vocabulary(spark, sf), "doc_id", parts(spark)),
         f"""WITH {VOCABULARY}, missing AS (SELECT DISTINCT doc_id FROM one WHERE token NOT IN (SELECT token FROM vocabulary))
 SELECT COUNT(*) AS n_texts, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM missing)) AS n_same,
 COUNT(*) FILTER (doc_id IN (SELECT doc_id FROM missing)) AS n_changed FROM lines""",

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def dealt_out(df: DataFrame, parts: int | None) -> DataFrame:
+    """Rows in `parts` partitions, for heavy work on few large files; None leaves them where they are read."""
+    return df if parts is None else df.repartition(parts)
+
+
 # A key is hot when it has more than ROWS_PER_TASK rows, whatever the size of the table. There is at
 # most one hot key per ROWS_PER_TASK rows, so the table of hot keys is a millionth of the rows.
 ROWS_PER_TASK = 1_000_000

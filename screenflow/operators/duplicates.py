@@ -283,9 +283,18 @@ def novel_rows(made: DataFrame, known: DataFrame, key: str, row_id: str, valid:
     return made.join(firsts.select(F.col("_row").alias(row_id)), row_id, "left_semi")
 
 
-def membership_filter(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in `members`."""
-    return df.join(members.select(*on), on, "left_semi")
+def membership_filter(
+    df: DataFrame, members: DataFrame, on: list[str], salt_by: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Rows whose key is in `members`; a NULL key is in none.
+
+    With `salt_by` (columns that tell rows of one key apart) keys with very many rows are split.
+    """
+    wanted = members.select(*on).dropna().distinct()
+    if not salt_by:
+        return df.join(wanted, on, "left_semi")
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).join(wanted, on, "left_semi")
+    return salted_join(df, counted, on, "_rows", salt_by, "left_semi", rows_per_task)
 
 
 def in_splits(df: DataFrame, splits: list[str], split: str = "split") -> DataFrame:

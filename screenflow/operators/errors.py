@@ -25,6 +25,7 @@ def compare_models(
 
 def difference_stats(comparison: DataFrame, difference: str = "absolute_error_difference") -> DataFrame:
     """How often each model wins, and mean and median difference."""
+    comparison = materialize(comparison.select("better_model", difference))  # read three times
     median = exact_quantiles(comparison, difference, {"m": 0.5}).scalar()
     means = comparison.agg(F.avg(difference).alias("mean")).scalar()
     wins = comparison.groupBy("better_model").agg(F.count(F.lit(1)).alias("n"))

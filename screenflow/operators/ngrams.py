@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
+from screenflow.functions.skew import dealt_out
 from screenflow.session import materialize
 
 
@@ -32,13 +33,13 @@ def _ending(context: Column, k: Column) -> Column:
     return F.slice(context, F.size(context) - kept + 1, kept)
 
 
-def fit_ngram(df: DataFrame, text: str, order: int = 2) -> DataFrame:
+def fit_ngram(df: DataFrame, text: str, order: int = 2, parts: int | None = None) -> DataFrame:
     """Counts (length, context, next, count) for the full context and every shorter one.
 
     Texts are expanded once, for the full context; shorter contexts are its ends, so their counts
-    are sums of the counted rows.
+    are sums of the counted rows. `parts`: see `dealt_out`.
     """
-    full = transitions(df, text, order).groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
+    full = transitions(dealt_out(df, parts), text, order).groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
     endings = F.transform(
         F.sequence(F.lit(0), F.lit(order)),
         lambda k: F.struct(k.alias("length"), _ending(F.col("context"), k).alias("context")),

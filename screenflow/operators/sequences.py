@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
 from screenflow.functions.ordering import global_rank
-from screenflow.functions.skew import salted_join
+from screenflow.functions.skew import dealt_out, salted_join
 from screenflow.operators.quality import describe
+from screenflow.session import materialize
 
 
-def token_frequency(df: DataFrame, text: str) -> DataFrame:
-    """Count and share of every token."""
-    counts = df.select(F.explode(tx.tokens(F.col(text))).alias("token")).groupBy("token").count()
+def token_frequency(df: DataFrame, text: str, parts: int | None = None) -> DataFrame:
+    """Count and share of every token. `parts`: see `dealt_out`."""
+    texts = dealt_out(df.select(text), parts)
+    counts = texts.select(F.explode(tx.tokens(F.col(text))).alias("token")).groupBy("token").count()
+    counts = materialize(counts)  # one row per token, read for the total too
     total = counts.agg(F.sum("count").alias("total")).scalar()
     return counts.withColumn("fraction", F.col("count") / total)
 
 
-def build_vocabulary(df: DataFrame, text: str) -> DataFrame:
+def build_vocabulary(df: DataFrame, text: str, parts: int | None = None) -> DataFrame:
     """(token, id): the special tokens 0 to 3, then all tokens of the texts in code-point order."""
-    found = df.select(F.explode(tx.tokens(F.col(text))).alias("token")).distinct()
+    found = dealt_out(df.select(text), parts).select(F.explode(tx.tokens(F.col(text))).alias("token")).distinct()
     ranked = global_rank(found, ["token"], "id")
     numbered = ranked.select("token", (F.col("id") + (len(tx.SPECIALS) - 1)).cast("int").alias("id"))
     specials = df.sparkSession.createDataFrame(list(zip(tx.SPECIALS, range(len(tx.SPECIALS)))), "token string, id int")
@@ -38,30 +41,41 @@ def token_length_stats(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def encode(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str, ids: str = "ids") -> DataFrame:
-    """Add BOS + token ids + EOS; tokens outside the vocabulary become UNK. `row_id` is unique."""
-    tokenized = df.withColumn("_tokens", tx.tokens(F.col(text)))
-    translated = _translate(tokenized, "_tokens", vocabulary.select("token", "id"), "token", "id", row_id)
-    inner = F.transform(
-        "_tokens", lambda t: F.coalesce(F.try_element_at(F.col("_map"), t), F.lit(tx.UNK_ID)).cast("int")
-    )
-    ends = [F.array(F.lit(tx.BOS_ID)), F.array(F.lit(tx.EOS_ID))]
-    return translated.withColumn(ids, F.concat(ends[0], inner, ends[1])).drop("_tokens", "_map")
+def encode(
+    df: DataFrame, text: str, vocabulary: DataFrame, row_id: str, ids: str = "ids", parts: int | None = None
+) -> DataFrame:
+    """Add BOS + token ids + EOS; tokens outside the vocabulary become UNK. `row_id` is unique.
+
+    Rows meet their part of the vocabulary as texts and are cut into tokens after that. `parts`: see
+    `dealt_out`.
+    """
+    translated = _translate(df, tx.tokens(F.col(text)), vocabulary.select("token", "id"), "token", "id", row_id, parts)
+    return translated.withColumn(ids, _ids(text)).drop("_map")
+
 
+def _ids(text: str) -> Column:
+    """The ids of a text's tokens, with both ends, by the row's `_map`."""
+    found = F.transform(tx.tokens(F.col(text)), lambda t: F.coalesce(F.try_element_at(F.col("_map"), t), F.lit(tx.UNK_ID)).cast("int"))
+    return F.concat(F.array(F.lit(tx.BOS_ID)), found, F.array(F.lit(tx.EOS_ID)))
 
-def _translate(df: DataFrame, array: str, table: DataFrame, source: str, target: str, row_id: str) -> DataFrame:
-    """Add `_map`: the entries of a table for the distinct elements of the row's array.
+
+def _translate(
+    df: DataFrame, array: Column, table: DataFrame, source: str, target: str, row_id: str, parts: int | None = None
+) -> DataFrame:
+    """Add `_map`: the entries of a table for the distinct elements of an array of the row.
 
     An element that many rows share is hot, so its rows are counted first and split in the join.
     """
-    pairs = df.select(F.col(row_id).alias("_row"), F.explode(F.array_distinct(array)).alias("_source"))
+    given = dealt_out(df, parts)
+    pairs = materialize(given.select(F.col(row_id).alias("_row"), F.explode(F.array_distinct(array)).alias("_source")))
     counts = pairs.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     renamed = table.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
     entries = salted_join(pairs, counts.join(renamed, "_source"), ["_source"], "_n", ["_row"])
     pair_list = F.collect_list(F.struct("_source", "_target"))  # at most one entry per element of the row's array
     maps = entries.groupBy("_row").agg(F.map_from_entries(pair_list).alias("_map"))
     empty = F.map_from_arrays(F.array(), F.array())
-    joined = df.join(maps, F.col(row_id) == F.col("_row"), "left").drop("_row")
+    # Adaptive execution sizes partitions by bytes, but the work to come is many times that.
+    joined = dealt_out(df.join(maps, F.col(row_id) == F.col("_row"), "left").drop("_row"), parts)
     return joined.withColumn("_map", F.coalesce("_map", empty.cast(maps.schema["_map"].dataType)))
 
 
@@ -72,10 +86,14 @@ def decode(
     row_id: str,
     out: str = "decoded",
     skip_unknown: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Text of an id sequence: up to the first EOS, without PAD and BOS (and UNK on request)."""
+    """Text of an id sequence: up to the first EOS, without PAD and BOS (and UNK on request).
+
+    `parts`: see `dealt_out`.
+    """
     skip = [tx.PAD_ID, tx.BOS_ID] + ([tx.UNK_ID] if skip_unknown else [])
-    translated = _translate(df, ids, vocabulary.select("id", "token"), "id", "token", row_id)
+    translated = _translate(df, F.col(ids), vocabulary.select("id", "token"), "id", "token", row_id, parts)
     words = F.transform(tx.content_ids(F.col(ids), skip), lambda i: F.try_element_at(F.col("_map"), i))
     return translated.withColumn(out, F.array_join(words, "")).drop("_map")
 
@@ -90,9 +108,20 @@ def shift(df: DataFrame, ids: str) -> DataFrame:
     return df.withColumns({"input_ids": tx.shift_input(F.col(ids)), "target_ids": tx.shift_target(F.col(ids))})
 
 
-def roundtrip_check(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str) -> DataFrame:
-    """How many texts come back unchanged from encoding and decoding."""
-    decoded = decode(encode(df, text, vocabulary, row_id), "ids", vocabulary, row_id)
+def roundtrip_check(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str, parts: int | None = None) -> DataFrame:
+    """How many texts come back unchanged from encoding and decoding.
+
+    The entries that encode a text are those that decode its ids (and UNK, which has one token), so
+    rows meet the vocabulary once.
+    """
+    table = vocabulary.select("token", "id")
+    translated = _translate(df.select(row_id, text), tx.tokens(F.col(text)), table, "token", "id", row_id, parts)
+    unknown = table.where(F.col("id") == tx.UNK_ID).agg(F.max("token").alias("t")).scalar()
+    back = F.map_from_entries(F.transform(F.map_entries("_map"), lambda e: F.struct(e["value"], e["key"])))
+    kept = tx.content_ids(F.col("ids"), [tx.PAD_ID, tx.BOS_ID])
+    word = F.transform(kept, lambda i: F.coalesce(F.try_element_at(F.col("_back"), i), F.when(i == tx.UNK_ID, F.col("_unknown"))))
+    with_ids = translated.withColumns({"ids": _ids(text), "_back": back, "_unknown": unknown})
+    decoded = with_ids.withColumn("decoded", F.array_join(word, ""))
     same = F.col("decoded") == F.col(text)
     return decoded.agg(
         F.count(text).alias("n_texts"), F.count_if(same).alias("n_same"), F.count_if(~same).alias("n_changed")
