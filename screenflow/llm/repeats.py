@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from screenflow.functions.skew import salted_join
 from screenflow.llm.arrow import append_columns, small_batches, unused
-from screenflow.session import materialize
+from screenflow.session import materialize, written
 
 WIDTH = 400
 HASHED = 8  # bytes under the rolling hash
@@ -276,7 +276,8 @@ def repeated_starts(
     small_batches(docs)
     texts = docs.select(F.coalesce(text, F.lit("")).alias("_text"))
     parse = texts.mapInArrow(_parse(width, core), PARSE)
-    merged = materialize(parse.repartition("route").sortWithinPartitions("d1", "d2").mapInArrow(_merged, PARSE))
+    merged = parse.repartition("route").sortWithinPartitions("d1", "d2").mapInArrow(_merged, PARSE)
+    merged = written(merged.select("kind", "key", "weight", "u", "low", "high"))
     done = merged.where(F.col("kind") == _DONE).select("u", "low", "high")
     distinct = merged.where(F.col("kind") == _PHRASE).select("key", "weight", "u", "low", "high")
     # A phrase under a key of its own has no window in common with another one, nor have phrases
@@ -286,7 +287,7 @@ def repeated_starts(
     open_phrases = salted_join(distinct, shared, ["key"], "n", ["u", "low"])
     wanted = open_phrases.groupBy("u").agg(F.collect_list(F.struct("key", "weight", "low", "high", "n")).alias("wanted"))
     once = texts.select(_text_key_column(F.col("_text")).alias("u"), "_text").groupBy("u").agg(F.first("_text").alias("_text"))
-    having = materialize(once.join(wanted, "u").mapInArrow(_contents(width), CONTENTS))
+    having = written(once.join(wanted, "u").mapInArrow(_contents(width), CONTENTS))
     few, many = (having.where(c).drop("n") for c in (F.col("n") <= max_group, F.col("n") > max_group))
     ranked = few.repartition("key").sortWithinPartitions("key").mapInArrow(_ordered(width), STARTS)
     single = many.mapInArrow(_window_rows(width), WINDOWS)
