@@ -9,6 +9,7 @@ from catalog.common import LINES, Case, documents, lines, one_line, parts, round
 from screenflow.functions import text as tx
 from screenflow.operators import ngrams, sequences
 from screenflow.operators.sampling import split_exact
+from screenflow.session import materialize
 
 ORDER = 2
 
@@ -104,9 +105,20 @@ def scored(spark, sf) -> DataFrame:
     return rounded(ngrams.score_sequences(_conversation_lines(spark, sf), "text", model, "role", ORDER), "mean_loss")
 
 
+TEXTS = 10_000  # as many as are drawn from the trained generator
+
+
 def sampled(spark, sf) -> DataFrame:
-    """200 texts drawn from a generator fitted on all documents."""
-    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER)
+    """Texts up to the length of the longest document, from a generator fitted on all documents."""
+    texts = lines(spark, sf)
+    model = materialize(ngrams.fit_ngram(texts, "text", ORDER, parts(spark)))
+    longest = texts.agg(F.max(F.size(tx.tokens(F.col("text"))))).first()[0] or 0
+    return ngrams.sample_sequences(model, TEXTS, longest + 2, ORDER, temperature=1.0, seed=42)
+
+
+def sampled_short(spark, sf) -> DataFrame:
+    """The beginnings of 200 such texts."""
+    model = ngrams.fit_ngram(lines(spark, sf), "text", ORDER, parts(spark))
     return ngrams.sample_sequences(model, 200, 60, ORDER, temperature=1.0, seed=42)
 
 
@@ -207,7 +219,8 @@ ELSE 'holdout' END AS split FROM r""",
         f"""WITH {MODEL} SELECT CAST(length AS INTEGER) AS length, c2 || c1 AS context, next, count FROM model""",
     ),
     "score_sequences": (scored, SCORE),
-    "sample_sequences": (sampled, SAMPLED),
+    "sample_sequences": (sampled, None),
+    "sample_sequences_short": (sampled_short, SAMPLED),
     "best_row": (
         lambda spark, sf: sequences.best_row(
             table(spark, sf, "events").select("event_id", "event_type", "user_id", "value"), "value", "event_id", ["event_type"]

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +15,7 @@ from screenflow.functions import text as tx
 from screenflow.functions.skew import dealt_out
 from screenflow.session import materialize
 
-
+SMALL_MODEL = 500_000  # (context, token) entries of a model that tasks may hold, some 100 MB
 
 def transitions(df: DataFrame, text: str, order: int, keep: list[str] | None = None) -> DataFrame:
     """One row per target token: its context of at most `order` tokens (from BOS on) and itself."""
@@ -101,18 +107,59 @@ def _uniform(seed: Column, step: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
+def _draw(uniforms: Callable[[int], float], options: dict, order: int, max_length: int) -> str:
+    """One text, token by token; `options` has the running weights and the tokens of every context."""
+    made: list[str] = []
+    context = (tx.BOS,)
+    for step in range(max_length - 1):
+        offered = options.get(context)
+        if offered is None:
+            break
+        weights, tokens = offered
+        k = bisect_right(weights, uniforms(step) * weights[-1])
+        if k == len(tokens) or tokens[k] == tx.EOS:
+            break
+        made.append(tokens[k])
+        context = (*context, tokens[k])[-order:]
+    return "".join(made)
+
+
+def _drawn_in_tasks(choices: DataFrame, n: int, max_length: int, order: int, seed: int) -> DataFrame:
+    """Whole texts drawn at a time, with the model in every task."""
+    spark = choices.sparkSession
+    options = {}
+    for row in choices.collect():  # at most SMALL_MODEL entries
+        options[tuple(row["context"])] = list(accumulate(o["w"] for o in row["options"])), [o["next"] for o in row["options"]]
+    sent = spark.sparkContext.broadcast(options)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            texts = [
+                _draw(lambda step, i=i: int(hashlib.md5(f"{seed}:{i}:{step}".encode()).hexdigest()[:12], 16) / 16**12, sent.value, order, max_length)
+                for i in ids
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "generated"])
+
+    parts = max(1, min(n, 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, parts).mapInArrow(draw, "id long, generated string")
+
+
 def sample_sequences(
-    model: DataFrame, n: int, max_length: int, order: int = 2, temperature: float = 1.0, seed: int = 42
+    model: DataFrame, n: int, max_length: int, order: int = 2, temperature: float = 1.0, seed: int = 42, small: int = SMALL_MODEL
 ) -> DataFrame:
     """Draw n texts (id, generated) token by token from BOS.
 
     Drawing stops at EOS, at a context without options, or after max_length - 1 tokens; PAD, BOS and
     UNK are never drawn. Random numbers depend on (seed, id, step) alone, so the texts do not depend
-    on the partitioning. Every step looks all open sequences up in the model.
+    on the partitioning. A model of at most `small` entries goes to the tasks, which draw whole texts;
+    with a larger one every step looks all open sequences up in it, with the same outcome.
     """
     choices = _choices(model, order, temperature)
     spark = choices.sparkSession
     choices = materialize(choices)
+    if (choices.agg(F.sum(F.size("options"))).first()[0] or 0) <= small:
+        return _drawn_in_tasks(choices, n, max_length, order, seed)
     state = spark.range(n).withColumns({"made": F.array().cast("array<string>"), "open": F.lit(True)})
     for step in range(max_length - 1):
         tail = F.concat(F.array(F.lit(tx.BOS)), F.col("made"))

@@ -79,6 +79,7 @@ def test_generated_texts(spark):
     made = ngrams.sample_sequences(model, 50, 12, 2, seed=3).orderBy("id").collect()
     again = ngrams.sample_sequences(model.repartition(5), 50, 12, 2, seed=3).orderBy("id").collect()
     short = ngrams.sample_sequences(model, 50, 5, 2, seed=3).orderBy("id").collect()
+    assert made == ngrams.sample_sequences(model, 50, 12, 2, seed=3, small=0).orderBy("id").collect()  # step by step, by joins
     assert made == again and len({r.generated for r in made}) > 3
     assert all(set(r.generated) <= {"a", "b"} and len(r.generated) <= 11 for r in made)
     assert [r.generated[:4] for r in made] == [r.generated for r in short]
