@@ -193,6 +193,8 @@ def license_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", thre
     """Per document: words, places of license phrases, their labels, all labels, and a score.
 
     The score is 1 where a phrase stands, else the largest containment of a matching notice, else 0.
+    NULL and empty texts have no words, no labels and score 0. Repeated rows are returned as often as
+    they occur, an empty table gives no rows, and other columns than id and text are not read.
     """
     rows = license_matches(docs.select(id, text), text, "_found", threshold=threshold).select(id, "_found.*")
     places = F.flatten(F.col("phrases.places"))

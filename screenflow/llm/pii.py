@@ -167,7 +167,11 @@ def detect_pii(docs: DataFrame, text: str = "text", name: str = "pii", threshold
 
 
 def pii_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: spans per base kind, a digest of the base spans, and all spans as text."""
+    """Per document: spans per base kind, a digest of the base spans, and all spans as text.
+
+    NULL texts count as empty; an empty text has nothing to find. Repeated rows are returned as often
+    as they occur, an empty table gives no rows, and other columns than id and text are not read.
+    """
 
     def work(column):
         columns = [[] for _ in range(6)]

@@ -146,7 +146,7 @@ placed AS (
          CAST(split_part(g.node, '/', 3) AS INTEGER) AS grown_shard
   FROM now_2 n JOIN grown_2 g ON n.key = g.key)
 SELECT s.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
-       CAST(row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(key)[1:8])::BIGINT % {tree.BUCKETS},
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(key || ':' || size || ':' || text_crc32)[1:8])::BIGINT % {tree.BUCKETS},
                                s.doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
 FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
 """

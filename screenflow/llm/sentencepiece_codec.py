@@ -86,7 +86,11 @@ def decode_pieces(rows: DataFrame, model_path: str, ids: str = "piece_ids", name
 
 
 def codec_digest(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: number of ids, digests of the ids and of the text decoded from them."""
+    """Per document: number of ids, digests of the ids and of the text decoded from them.
+
+    NULL texts count as empty, whose only id is the end. Repeated rows are returned as often as they
+    occur, an empty table gives no rows, and other columns than id and text are not read.
+    """
 
     def work(column):
         one, columns = codec(model_path), [[], [], []]

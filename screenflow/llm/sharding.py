@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenflow.session import materialize
+
 BUCKETS = 1024  # parts into which each shard is cut to number its rows
 RUN = 100_000  # repeats of one row numbered at a time
 _HEX = 13  # hex digits of a draw: 52 bits
@@ -91,7 +93,9 @@ def shard_documents(
     tree = standard_tree(shards) if tree is None else tree
     grown = standard_tree(shards + 1) if grown is None else grown
     key = F.coalesce(F.col(id).cast("string"), F.lit(""))
-    bucket = (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    # From all that tells rows apart: the rows of one id, or of none, fall into many buckets.
+    whole_row = F.concat_ws(":", key, F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    bucket = (F.conv(F.substring(F.md5(whole_row.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
     whole = F.coalesce(F.col(text), F.lit(""))
     # Placed after repeats are counted, once per distinct row.
     rows = (
@@ -101,8 +105,8 @@ def shard_documents(
         .groupBy(id, "size", "text_crc32").agg(F.count("*").alias("_n"))
         .withColumns({"shard": place(key, tree), "grown_shard": place(key, grown), "_bucket": bucket})
     )
-    counts = docs.select(id).groupBy(id).agg(F.count("*").alias("_n"))
-    counts = counts.withColumns({"shard": place(key, tree), "_bucket": bucket}).groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
+    rows = materialize(rows)  # a few numbers for each distinct row; read for the counts and for the rows
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
     earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_bucket").orderBy(id, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenflow.functions.skew import salted_join
 from screenflow.llm.arrow import append_columns, unused
 from screenflow.llm.components import connected_components
 from screenflow.session import materialize
@@ -164,15 +165,15 @@ def component_roots(nodes: DataFrame, fingerprint: str = "fingerprint", distance
 
 
 def _labelled(prints: DataFrame, id: str, distance: int) -> DataFrame:
-    """One row per distinct fingerprint: `first`, its smallest id, `root`, which tells its component, and `component_id`."""
-    nodes = materialize(prints.groupBy("fingerprint").agg(F.min(id).alias("first")))
+    """One row per distinct fingerprint: `first`, its smallest id, `copies`, `root`, which tells its component, and `component_id`."""
+    nodes = materialize(prints.groupBy("fingerprint").agg(F.min(id).alias("first"), F.count(F.lit(1)).alias("copies")))
     roots = component_roots(nodes, "fingerprint", distance)
     linked = materialize(
         nodes.join(roots, F.col("fingerprint") == F.col("node"), "left")
-        .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+        .select("fingerprint", "first", "copies", F.coalesce("root", "fingerprint").alias("root"))
     )
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return linked.join(smallest, "root")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
+    return salted_join(linked, smallest, ["root"], "_nodes", ["fingerprint"]).drop("_nodes")
 
 
 def near_duplicates(
@@ -186,8 +187,7 @@ def near_duplicates(
     """
     prints = materialize(with_fingerprint(docs.select(id, text), text, drop=True))
     labels = _labelled(prints, id, distance).drop("first", "root")
-    # Many rows to one row per fingerprint; a large group of copies is split by skew join handling.
-    joined = prints.join(labels, "fingerprint")
+    joined = salted_join(prints, labels, ["fingerprint"], "copies", [id])
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return joined.select(id, digits.alias("fingerprint"), "component_id")
 

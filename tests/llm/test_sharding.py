@@ -49,3 +49,13 @@ def test_repeats_beyond_one_run_get_all_slots(spark, monkeypatch):
 def test_bad_trees():
     with pytest.raises(ValueError):
         place(F.lit("k"), [Shard(0, 0, 0), Shard(0, 1, 0)])
+
+
+def test_rows_without_an_id_fall_into_many_buckets(spark):
+    texts = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = shard_documents(texts, buckets=16).collect()
+    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(400))
+    # Slots go bucket by bucket, so rows next to each other in size and checksum are far apart.
+    order = [r["text_crc32"] for r in sorted(rows, key=lambda r: (r["size"], r["text_crc32"]))]
+    by_slot = [r["text_crc32"] for r in sorted(rows, key=lambda r: r["slot"])]
+    assert by_slot != order
