@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenflow.functions.components import connected_components
 from screenflow.functions.ordering import exact_quantiles, global_rank
 from screenflow.functions.skew import ROWS_PER_TASK, salted_join
 from screenflow.operators.quality import top_n
 from screenflow.operators.similarity import similar_pairs
 from screenflow.session import materialize
 
+COMPONENT_EDGES = 1_000_000  # edges of a component that one task settles
 
 def butina_clusters(
     nodes: DataFrame,
@@ -19,12 +24,16 @@ def butina_clusters(
     later_ties_first: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
     weight: str | None = None,
+    rounds_before_components: int = 6,
+    component_edges: int = COMPONENT_EDGES,
 ) -> DataFrame:
     """(id, cluster_id, is_center) for every node, given neighbour pairs (src, dst).
 
     Sequentially: take rows by number of neighbours, most first; a row not yet taken becomes the
     next centre and takes its free neighbours. Here, in rounds: a row becomes a centre once all
     its neighbours that come before it are known to be members; neighbours of centres are members.
+    After `rounds_before_components` rounds what is open is cut into connected components, and those
+    of at most `component_edges` edges are settled in one task each; rounds go on with the others.
     The outcome is the same. `later_ties_first`: of rows with equally many neighbours, the one with
     the larger id goes first. With `weight` (a column of `nodes`) a node stands for that many equal
     rows, which count as neighbours of each other and of the node's neighbours.
@@ -71,9 +80,16 @@ def butina_clusters(
     forward = materialize(ends.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("later")))
 
     # An edge is live while both its rows are open. A row that is nobody's later row has no open
-    # row before it, so it is a centre, and its later rows are members.
-    live, members = forward, None
+    # row before it, so it is a centre, and its later rows are members. Chains of rows that wait for
+    # each other would take a round per centre: after some rounds small components are settled whole.
+    live, members, rounds = forward, None, 0
     while not live.isEmpty():
+        if rounds == rounds_before_components:
+            settled, live = _settle(live, component_edges)
+            members = settled if members is None else members.unionByName(settled)
+            rounds += 1
+            continue
+        rounds += 1
         reached = live.select(F.col("later").alias("visit")).distinct()
         heads = live.select(F.col("first").alias("visit")).distinct().join(reached, "visit", "left_anti")
         taken = touching(live, heads, "first", "later", "left_semi").select(F.col("later").alias("visit")).distinct()
@@ -99,6 +115,31 @@ def butina_clusters(
     )
 
 
+def _settle(live: DataFrame, component_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Members among the rows of small components of the live edges, and the live edges of the others."""
+    roots = connected_components(live, "first", "later").select(F.col("node").alias("later"), "root")
+    rooted = live.join(roots, "later")  # a later row is never the smallest of its component
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_edges"))
+    rooted = materialize(salted_join(rooted, sizes, ["root"], "_edges", ["first", "later"]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, members = None, set()
+        for batch in batches:
+            new = []
+            for component, first, later in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != root:
+                    root, members = component, set()
+                # Rows come in visiting order: one that no centre has taken is a centre itself.
+                if first not in members and later not in members:
+                    members.add(later)
+                    new.append(later)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], names=["visit"])
+
+    small = rooted.where(F.col("_edges") <= component_edges).select("root", "first", "later")
+    taken = small.repartition("root").sortWithinPartitions("root", "first", "later").mapInArrow(walk, "visit long")
+    return materialize(taken), materialize(rooted.where(F.col("_edges") > component_edges).select("first", "later"))
+
+
 def cluster_fingerprints(
     df: DataFrame,
     id: str,

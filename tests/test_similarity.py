@@ -132,3 +132,38 @@ def test_diverse_pick_equals_the_sequential_walk(spark, limit, n, window):
             break
     assert [r.id for r in found] == chosen
     assert {r.id: r.max_similarity_to_previous_selected for r in found} == pytest.approx(dict(expected))
+
+
+def _greedy(n, edges):
+    """Clusters of nodes 0 to n - 1 taken one by one: by neighbours, most first, later ones first among equals."""
+    near = {i: set() for i in range(n)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    cluster, k = {}, 0
+    for i in sorted(range(n), key=lambda i: (-len(near[i]), -i)):
+        if i not in cluster:
+            cluster.update({j: k for j in near[i] if j not in cluster} | {i: k})
+            k += 1
+    return cluster
+
+
+@pytest.mark.parametrize("component_edges, length", [(1_000_000, 400), (10, 24)])
+def test_long_paths_are_settled_in_few_rounds(spark, monkeypatch, component_edges, length):
+    import random
+
+    from screenflow.operators import clustering
+
+    draw = random.Random(6)
+    edges = [(i, i + 1) for i in range(length)] + [(500 + i, 501 + i) for i in range(9)]
+    edges += [tuple(sorted(draw.sample(range(600, 700), 2))) for _ in range(120)]
+    edges = sorted(set(edges))
+    written = []
+    original = clustering.materialize
+    monkeypatch.setattr("screenflow.operators.clustering.materialize", lambda df: written.append(1) or original(df))
+    nodes = spark.range(700).select("id")
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    found = {r["id"]: r["cluster_id"] for r in clustering.butina_clusters(nodes, "id", frame, component_edges=component_edges).collect()}
+    assert found == _greedy(700, edges)
+    if component_edges > 1_000:
+        assert len(written) < 30  # a path of 400 nodes alone took some 200 before
