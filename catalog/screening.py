@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import Case, rounded, table
+from catalog.common import Case, rounded, table, token_list
 from screenflow.functions.bits import token_bits
 from screenflow.functions.text import tokens
 from screenflow.operators import screening
@@ -91,6 +91,25 @@ def summarized(spark, sf) -> DataFrame:
     return result.summary
 
 
+# Down the ranking one row per step, with the list of what is accepted so far.
+SUMMARY = f"""WITH RECURSIVE {FRONT},
+named AS (SELECT p_partkey, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM (SELECT p_partkey, {token_list("p_name")} AS t FROM part)),
+near AS (SELECT p_partkey, x, x || lead(x, 1) OVER w AS x2, x || lead(x, 1) OVER w || lead(x, 2) OVER w AS x3
+  FROM named WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+grams AS (SELECT p_partkey, x AS g FROM near UNION SELECT p_partkey, x2 FROM near WHERE x2 IS NOT NULL
+  UNION SELECT p_partkey, x3 FROM near WHERE x3 IS NOT NULL),
+masks AS (SELECT p_partkey, bitstring_agg(bit, 0, 2047) AS mask FROM
+  (SELECT DISTINCT p_partkey, CAST(('0x' || substr(md5(g), 1, 8))::BIGINT % 2048 AS INTEGER) AS bit FROM grams) GROUP BY p_partkey),
+ranked AS MATERIALIZED (SELECT mask, ROW_NUMBER() OVER (ORDER BY pareto_front DESC,
+  0.45::DOUBLE * price_score + 0.35::DOUBLE * size_score + 0.20::DOUBLE * rule_score DESC, p_partkey) AS k FROM fronted JOIN masks USING (p_partkey)),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIT[]) AS taken
+  UNION ALL SELECT r.k, CASE WHEN coalesce(list_max(list_transform(taken,
+      lambda m: bit_count(m & mask) / CAST(bit_count(m | mask) AS DOUBLE))), 0.0::DOUBLE) <= 0.65::DOUBLE THEN list_append(taken, mask) ELSE taken END
+  FROM walk w JOIN ranked r ON r.k = w.k + 1 WHERE len(taken) < 100)
+SELECT (SELECT COUNT(*) FROM part) AS n_input, COUNT(*) AS n_after_filter, COUNT(*) FILTER (pareto_front) AS n_pareto,
+  CAST((SELECT MAX(len(taken)) FROM walk) AS BIGINT) AS n_diverse_selected, 10.0::DOUBLE AS min_score, 1 AS max_violations,
+  0.45::DOUBLE AS weight_first, 0.35::DOUBLE AS weight_second, 0.20::DOUBLE AS weight_rules, 0.65::DOUBLE AS diversity_limit FROM fronted"""
+
 CASES: dict[str, Case] = {
     "rule_violations": (
         lambda spark, sf: screening.rule_violations(_parts(spark, sf), LIMITS).drop("p_name"),
@@ -200,5 +219,5 @@ ROUND(AVG(CAST(compliant AS INTEGER)), 6) AS compliant_fraction, ROUND(AVG(CAST(
 COUNT(*) FILTER (candidate) AS candidate_count, ROUND(AVG(CAST(candidate AS INTEGER)), 6) AS candidate_fraction,
 ROUND(quantile_cont(p_size, 0.5), 6) AS median_score, ROUND(quantile_cont(p_retailprice, 0.5), 6) AS median_prediction FROM f""",
     ),
-    "ranking_summary": (summarized, None),
+    "ranking_summary": (summarized, SUMMARY),
 }
