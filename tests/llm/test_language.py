@@ -110,3 +110,24 @@ def test_few_taught_texts_leave_the_least_score(spark, documents):
     assert fit_cutoffs(documents.where("doc_id = 1"), model) == {}
     assert known(("en", 0.2, 50), {}, 0.2) and not known(("en", 0.19, 50), {}, 0.2) and not known(("und", 0.0, 0), {}, 0.0)
     assert not known(("en", 0.3, 50), {(None, 6): 0.4}, 0.2) and known(("en", 0.3, 50), {(None, 6): 0.4, ("en", 6): 0.25}, 0.2)
+
+
+def top(counts, n=300):
+    return [k for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]]
+
+
+def test_predictions_like_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learned = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update({key(g): n for g, n in plain_ngrams(text).items()})
+    places = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in learned.items()}
+    found = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in language_digest(docs).collect()}
+    for i, text, _ in rows:
+        own = top({key(g): n for g, n in plain_ngrams(text or "").items()})
+        away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        score = 1 - away[best] / (300 * len(own)) if own else 0.0
+        assert found[i] == (best, pytest.approx(score), zlib.crc32(str(i).encode()) % 4 == 2)
