@@ -17,6 +17,7 @@ from screenflow.session import materialize
 
 SMALL_MODEL = 500_000  # (context, token) entries of a model that tasks may hold, some 100 MB
 
+
 def transitions(df: DataFrame, text: str, order: int, keep: list[str] | None = None) -> DataFrame:
     """One row per target token: its context of at most `order` tokens (from BOS on) and itself."""
     keep = keep or []
