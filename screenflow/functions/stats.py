@@ -28,7 +28,7 @@ def ks_p_value(statistic: float, n_a: int, n_b: int) -> float:
     if x < 0.2:  # the series would need many terms; what is missing from 1 is below 1e-12
         return 1.0
     both = math.fsum(2 * (-1) ** k * math.exp(-2 * (k * x) ** 2) for k in range(2, 101))
-    return min(1.0, max(0.0, 2 * _one_sided_tail(statistic, n) - both))
+    return float(min(1.0, max(0.0, 2 * _one_sided_tail(statistic, n) - both)))  # Spark takes no NumPy numbers
 
 
 _SMALL = np.array([0.0] + [math.lgamma(k + 1) - (k * math.log(k) - k + 0.5 * math.log(2 * math.pi * k)) for k in range(1, 64)])

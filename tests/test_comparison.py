@@ -104,3 +104,10 @@ def test_percent_rank_and_scores(spark):
     assert [r.p for r in rows] == [0.25, 0.625, 0.625, 1.0, None]
     scores = [spark.range(1).select(screening.clipped_score(F.lit(v)).alias("s")).first().s for v in (0, 1, 4, 9)]
     assert scores == [1.0, 0.75, 0.0, 0.0]
+
+
+def test_p_values_of_large_tables_are_plain_numbers(spark):
+    # From some 40,000 rows on the tail is integrated, and Spark takes no NumPy numbers.
+    assert type(ks_p_value(0.0015, 1_999_990, 1_999_990)) is float
+    a, b = (spark.range(100_000).select((F.col("id") * k).alias("v")) for k in (1.0, 1.004))
+    assert 0 < distributions.ks_two_sample(a, b, ["v"]).first()["p_value"] <= 1
