@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from catalog.common import LINES, Case, documents, lines, one_line, parts, rounded, table, token_list
 from screenflow.functions import text as tx
+from screenflow.functions.skew import dealt_out
+from screenflow.functions.tokenized import small_batches, token_count
 from screenflow.operators import ngrams, sequences
 from screenflow.operators.sampling import split_exact
 from screenflow.session import materialize
@@ -40,10 +42,10 @@ encoded AS (SELECT doc_id, text, list_concat(list_concat([1], coalesce(ids, CAST
 
 def padded(spark, sf) -> DataFrame:
     """Padded to the longest sequence of the texts."""
-    encoded = _encoded(spark, sf)
+    encoded = materialize(_encoded(spark, sf).drop("text"))  # read for the longest and for all
     length = encoded.agg(F.max(F.size("ids")).alias("n")).first()["n"]
-    found = sequences.pad_sequences(encoded, "ids", length)
-    return found.select("doc_id", "sequence_length", F.md5(F.array_join(F.col("padded").cast("array<string>"), ",")).alias("digest"))
+    found = sequences.pad_sequences(encoded, "ids", length, separator=",")
+    return found.select("doc_id", "sequence_length", F.md5("padded").alias("digest"))
 
 
 def decoded(spark, sf) -> DataFrame:
@@ -112,7 +114,7 @@ def sampled(spark, sf) -> DataFrame:
     """Texts up to the length of the longest document, from a generator fitted on all documents."""
     texts = lines(spark, sf)
     model = materialize(ngrams.fit_ngram(texts, "text", ORDER, parts(spark)))
-    longest = texts.agg(F.max(F.size(tx.tokens(F.col("text"))))).first()[0] or 0
+    longest = small_batches(dealt_out(texts, parts(spark))).agg(F.max(token_count(F.col("text")))).first()[0] or 0
     return ngrams.sample_sequences(model, TEXTS, longest + 2, ORDER, temperature=1.0, seed=42)
 
 

@@ -13,27 +13,12 @@ from pyspark.sql import functions as F
 
 from screenflow.functions import text as tx
 from screenflow.functions.skew import dealt_out
+from screenflow.functions.tokenized import transition_counts
 from screenflow.session import materialize
 
 SMALL_MODEL = 500_000  # (context, token) entries of a model that tasks may hold, some 100 MB
 
 
-def transitions(df: DataFrame, text: str, order: int, keep: list[str] | None = None) -> DataFrame:
-    """One row per target token: its context of at most `order` tokens (from BOS on) and itself."""
-    keep = keep or []
-    ends = df.where(F.col(text).isNotNull()).select(
-        *keep, F.concat(F.array(F.lit(tx.BOS)), tx.tokens(F.col(text)), F.array(F.lit(tx.EOS))).alias("s")
-    )
-
-    def step(i: Column) -> Column:
-        # Neighbours are read by place: a slice would copy the whole text for every token. Places
-        # before BOS are NULL and fall away.
-        before = F.array_compact(F.array(*[F.get(F.col("s"), i - k) for k in range(order, 0, -1)]))
-        return F.struct(before.alias("context"), F.get(F.col("s"), i).alias("next"))
-
-    return ends.select(*keep, F.inline(F.transform(F.sequence(F.lit(1), F.size("s") - 1), step)))
-
-
 def _ending(context: Column, k: Column) -> Column:
     """The last k tokens, or all if there are fewer."""
     kept = F.least(k, F.size(context))
@@ -46,7 +31,7 @@ def fit_ngram(df: DataFrame, text: str, order: int = 2, parts: int | None = None
     Texts are expanded once, for the full context; shorter contexts are its ends, so their counts
     are sums of the counted rows. `parts`: see `dealt_out`.
     """
-    full = transitions(dealt_out(df, parts), text, order).groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
+    full = transition_counts(dealt_out(df, parts), text, order)
     endings = F.transform(
         F.sequence(F.lit(0), F.lit(order)),
         lambda k: F.struct(k.alias("length"), _ending(F.col("context"), k).alias("context")),
@@ -65,9 +50,8 @@ def score_sequences(df: DataFrame, text: str, model: DataFrame, split: str, orde
     longest context the model has seen, so an unseen context falls back to a shorter one. Equal
     (context, token) pairs are counted before anything is joined.
     """
-    asked = (
-        transitions(df, text, order, [split]).groupBy(split, "context", "next").agg(F.count(F.lit(1)).alias("n"))
-    )
+    model = materialize(model)  # every length is looked up in it
+    asked = transition_counts(df, text, order, [split]).withColumnRenamed("count", "n")
     totals = model.groupBy("length", "context").agg(F.sum("count").alias("total"))
     known = model.where("length = 0").agg(F.count(F.lit(1)).alias("known")).scalar()
     joined = asked

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenflow.functions import text as tx
 from screenflow.functions.ordering import global_rank
 from screenflow.functions.skew import dealt_out, salted_join
+from screenflow.functions.tokenized import distinct_ids, distinct_tokens, small_batches, spelled, token_ids
 from screenflow.operators.quality import describe
 from screenflow.session import materialize
 
@@ -49,25 +50,19 @@ def encode(
     Rows meet their part of the vocabulary as texts and are cut into tokens after that. `parts`: see
     `dealt_out`.
     """
-    translated = _translate(df, tx.tokens(F.col(text)), vocabulary.select("token", "id"), "token", "id", row_id, parts)
-    return translated.withColumn(ids, _ids(text)).drop("_map")
-
-
-def _ids(text: str) -> Column:
-    """The ids of a text's tokens, with both ends, by the row's `_map`."""
-    found = F.transform(tx.tokens(F.col(text)), lambda t: F.coalesce(F.try_element_at(F.col("_map"), t), F.lit(tx.UNK_ID)).cast("int"))
-    return F.concat(F.array(F.lit(tx.BOS_ID)), found, F.array(F.lit(tx.EOS_ID)))
+    translated = _translate(df, distinct_tokens(F.col(text)), vocabulary.select("token", "id"), "token", "id", row_id, parts)
+    return translated.withColumn(ids, token_ids(F.col(text), F.col("_map"))).drop("_map")
 
 
 def _translate(
     df: DataFrame, array: Column, table: DataFrame, source: str, target: str, row_id: str, parts: int | None = None
 ) -> DataFrame:
-    """Add `_map`: the entries of a table for the distinct elements of an array of the row.
+    """Add `_map`: the entries of a table for the elements, each once, of an array of the row.
 
     An element that many rows share is hot, so its rows are counted first and split in the join.
     """
-    given = dealt_out(df, parts)
-    pairs = materialize(given.select(F.col(row_id).alias("_row"), F.explode(F.array_distinct(array)).alias("_source")))
+    given = small_batches(dealt_out(df, parts))
+    pairs = materialize(given.select(F.col(row_id).alias("_row"), F.explode(array).alias("_source")))
     counts = pairs.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     renamed = table.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
     entries = salted_join(pairs, counts.join(renamed, "_source"), ["_source"], "_n", ["_row"])
@@ -93,14 +88,17 @@ def decode(
     `parts`: see `dealt_out`.
     """
     skip = [tx.PAD_ID, tx.BOS_ID] + ([tx.UNK_ID] if skip_unknown else [])
-    translated = _translate(df, F.col(ids), vocabulary.select("id", "token"), "id", "token", row_id, parts)
-    words = F.transform(tx.content_ids(F.col(ids), skip), lambda i: F.try_element_at(F.col("_map"), i))
-    return translated.withColumn(out, F.array_join(words, "")).drop("_map")
+    translated = _translate(df, distinct_ids(F.col(ids)), vocabulary.select("id", "token"), "id", "token", row_id, parts)
+    return translated.withColumn(out, spelled(F.col(ids), F.map_keys("_map"), F.map_values("_map"), skip)).drop("_map")
 
 
-def pad_sequences(df: DataFrame, ids: str, length: int, out: str = "padded") -> DataFrame:
-    """Fill sequences up to one length and keep the true length; a longer one fails the job."""
-    return df.withColumns({"sequence_length": F.size(ids), out: tx.pad(F.col(ids), length)})
+def pad_sequences(df: DataFrame, ids: str, length: int, out: str = "padded", separator: str | None = None) -> DataFrame:
+    """Fill sequences up to one length and keep the true length; a longer one fails the job.
+
+    With `separator` the padded sequence is a text of its ids, without an array of `length` numbers between.
+    """
+    padded = tx.pad(F.col(ids), length) if separator is None else tx.pad_text(F.col(ids), length, separator)
+    return df.withColumns({"sequence_length": F.size(ids), out: padded})
 
 
 def shift(df: DataFrame, ids: str) -> DataFrame:
@@ -115,13 +113,12 @@ def roundtrip_check(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str
     rows meet the vocabulary once.
     """
     table = vocabulary.select("token", "id")
-    translated = _translate(df.select(row_id, text), tx.tokens(F.col(text)), table, "token", "id", row_id, parts)
+    translated = _translate(df.select(row_id, text), distinct_tokens(F.col(text)), table, "token", "id", row_id, parts)
     unknown = table.where(F.col("id") == tx.UNK_ID).agg(F.max("token").alias("t")).scalar()
-    back = F.map_from_entries(F.transform(F.map_entries("_map"), lambda e: F.struct(e["value"], e["key"])))
-    kept = tx.content_ids(F.col("ids"), [tx.PAD_ID, tx.BOS_ID])
-    word = F.transform(kept, lambda i: F.coalesce(F.try_element_at(F.col("_back"), i), F.when(i == tx.UNK_ID, F.col("_unknown"))))
-    with_ids = translated.withColumns({"ids": _ids(text), "_back": back, "_unknown": unknown})
-    decoded = with_ids.withColumn("decoded", F.array_join(word, ""))
+    with_ids = translated.withColumns({"ids": token_ids(F.col(text), F.col("_map")), "_unknown": unknown})
+    names = F.concat(F.array(F.lit(tx.UNK_ID)), F.map_values("_map"))
+    words = F.concat(F.array("_unknown"), F.map_keys("_map"))
+    decoded = with_ids.withColumn("decoded", spelled(F.col("ids"), names, words, [tx.PAD_ID, tx.BOS_ID]))
     same = F.col("decoded") == F.col(text)
     return decoded.agg(
         F.count(text).alias("n_texts"), F.count_if(same).alias("n_same"), F.count_if(~same).alias("n_changed")
