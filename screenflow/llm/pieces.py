@@ -19,9 +19,9 @@ SPACE = "▁"
 START = -1  # "last token" at the start of a segment: compatible with every token
 UNKNOWN = -2  # a character outside the vocabulary: written as its UTF-8 bytes
 PAIRS = 500_000  # token pairs whose compatibility is remembered
-SEGMENTS = 150_000  # results kept per Python worker; above it they are worked out anew
+SEGMENTS = 300_000  # results kept per Python worker; above it they are worked out anew
 LONGEST_SEGMENT = 40  # longer segments are not kept
-STATES = 150_000  # per Python worker; above it the machine starts anew (results do not change)
+STATES = 300_000  # per Python worker; above it the machine starts anew (results do not change)
 
 
 class Vocabulary:
@@ -153,6 +153,11 @@ class Machine:
             self.chain[node] = (node, *self.chain[up[node]])
             self.open[node] = (node, *self.open[up[node]]) if self.after[node] else self.open[up[node]]
         self.size = {i: len(t) for i, t in vocabulary.text.items()}
+        # Worked out once per node, as every step asks for them: the tokens that may end there with
+        # their sizes, longest first; sizes of the open suffixes; where a key has the token before each.
+        self.ends = [tuple((self.token[n], self.depth[n]) for n in found if self.token[n] >= 0) for found in self.chain]
+        self.sizes = [tuple(self.depth[n] for n in found[:-1]) for found in self.open]
+        self.places = [{self.depth[n]: 3 + 2 * i for i, n in enumerate(found)} for found in self.open]
         self.clear()
 
     def clear(self) -> None:
@@ -183,20 +188,18 @@ class Machine:
         if not node:
             size = len(char.encode("utf-8")) if self.counting else 0
             return self._state((0, size, False, UNKNOWN, 0))
-        before = {self.depth[n]: h for n, h in zip(self.open[key[0]], zip(key[3::2], key[4::2]))}
-        for n in self.chain[node]:
-            token = self.token[n]
-            if token >= 0:
-                last, relative = before[self.depth[n] - 1]
-                if self.vocabulary.compatible(last, token):
-                    break
+        places, compatible = self.places[key[0]], self.vocabulary.compatible
+        for token, size in self.ends[node]:
+            at = places[size - 1]
+            if compatible(key[at], token):
+                break
         else:
             raise AssertionError("no token ends here")
-        delta = relative + 1 if self.counting else 0
+        delta = key[at + 1] + 1 if self.counting else 0
         history = []
-        for n in self.open[node][:-1]:
-            last, relative = before[self.depth[n] - 1]
-            history += [last, relative - delta]
+        for size in self.sizes[node]:
+            at = places[size - 1]
+            history += (key[at], key[at + 1] - delta)
         return self._state((self.open[node][0], delta, char == SPACE, *history, token, 0))
 
     def run(self, text: str) -> Iterator[State]:
@@ -213,10 +216,10 @@ class Machine:
 
     def ids(self, text: str) -> list[int]:
         """Token ids: last tokens of all prefixes, then back from the end, token by token."""
-        last = [s.last for s in self.run(text)]
+        states = list(self.run(text))
         out, at, size, byte_ids = [], len(text), self.size, self.vocabulary.byte_ids
         while at:
-            token = last[at - 1]
+            token = states[at - 1].last
             if token >= 0:
                 out.append(token)
                 at -= size[token]

@@ -25,6 +25,7 @@ class Codec:
         self.machine = machine(path, False)
         self.model = self.machine.vocabulary.model
         self.end = self.model.eos_id()
+        self.decimal = list(map(str, range(self.model.vocab_size())))
         self.table = Memo(lambda segment: tuple(self.machine.ids(segment)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -94,10 +95,11 @@ def codec_digest(docs: DataFrame, model_path: str, id: str = "doc_id", text: str
 
     def work(column):
         one, columns = codec(model_path), [[], [], []]
+        decimal = one.decimal
         for t in column.to_pylist():
             ids = one.encode(t)
             columns[0].append(len(ids))
-            columns[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            columns[1].append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
             columns[2].append(hashlib.sha256(one.decode(ids).encode()).hexdigest())
         return columns
 

@@ -5,7 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from screenflow.llm.pieces import Machine, Vocabulary, escaped
+from screenflow.llm.pieces import Machine, Memo, Vocabulary, escaped
 from screenflow.llm.sentencepiece_codec import Codec, codec_digest, decode_pieces, encode_pieces
 from screenflow.llm.token_counts import Counter, count_tokens
 
@@ -70,3 +70,12 @@ def test_whole_tables(documents, no_documents, library, model_path):
     assert codec_digest(no_documents, model_path).count() == count_tokens(no_documents, model_path).count() == 0
     back = decode_pieces(encode_pieces(documents, model_path), model_path, name="back")
     assert back.where("back <> coalesce(text, '')").count() == 0
+
+
+def test_segments_that_come_again_are_not_worked_out_again():
+    worked = []
+    memo = Memo(lambda segment: worked.append(segment) or len(segment))
+    segments = [f"▁{i}" for i in range(140_000)]
+    for _ in range(2):
+        assert sum(map(memo.__getitem__, segments)) == sum(map(len, segments))
+    assert len(worked) == len(segments)
