@@ -12,7 +12,7 @@ SPECIALS = [PAD, BOS, EOS, UNK]
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 
 # Bracket content = isotope, element, chirality, hydrogens, charge, class.
-BRACKET_HYDROGEN = r"^\[[0-9]*H(?![a-z])"
+HYDROGEN_GROUP = r"\[[0-9]*H(?![a-z])[^\[\]]*\]"
 BRACKET_CHARGE = r"(\++|-+)([0-9]*)(?::[0-9]+)?\]$"
 
 
@@ -87,30 +87,37 @@ def _bracket_charge(token: Column) -> Column:
     return F.when(signs == "", F.lit(0)).when(signs.startswith("+"), size).otherwise(-size)
 
 
-def _is_bracket(token: Column) -> Column:
-    return token.startswith("[") & (F.length(token) > 1)
+# Bracket groups are the only tokens that hold a bracket and more than one character, so what is
+# counted outside them is counted on the text without them; a line break, which is in no token,
+# keeps what stood on both sides apart. No array of all tokens is made.
+BRACKET_GROUP = r"\[[^\[\]]+\]"
+CHARGED_GROUP = r"\[[^\[\]]*[+-][0-9]*(?::[0-9]+)?\]"
 
 
-def fragment_count(token_array: Column) -> Column:
+def outside_brackets(text: Column) -> Column:
+    """The text with a line break for every bracket group."""
+    return F.regexp_replace(text, F.lit(BRACKET_GROUP), F.lit("\n"))
+
+
+def fragment_count(outside: Column) -> Column:
     """Dots outside brackets, plus one."""
-    return F.size(F.filter(token_array, lambda t: t == ".")) + 1
+    return F.regexp_count(outside, F.lit("[.]")) + 1
 
 
-def formal_charge(token_array: Column) -> Column:
-    charges = F.transform(F.filter(token_array, _is_bracket), _bracket_charge)
+def formal_charge(text: Column) -> Column:
+    """Sum of the charges of the bracket groups that have one."""
+    charges = F.transform(F.regexp_extract_all(text, F.lit(CHARGED_GROUP), F.lit(0)), _bracket_charge)
     return F.aggregate(charges, F.lit(0), lambda total, c: total + c)
 
 
-def heavy_atom_count(token_array: Column) -> Column:
+def heavy_atom_count(text: Column, outside: Column) -> Column:
     """Atom tokens: letters, two-letter symbols and brackets other than hydrogen."""
-
-    def is_atom(token: Column) -> Column:
-        letters = token.rlike("^[A-Za-z]+$") & (token != "H")
-        return letters | (_is_bracket(token) & ~token.rlike(BRACKET_HYDROGEN))
-
-    return F.size(F.filter(token_array, is_atom))
+    letters = F.length(outside) - F.length(F.regexp_replace(outside, F.lit("[A-Za-z]+"), F.lit("")))
+    groups = F.regexp_count(text, F.lit(BRACKET_GROUP)) - F.regexp_count(text, F.lit(HYDROGEN_GROUP))
+    return letters - F.regexp_count(outside, F.lit("H|Br|Cl|S[ie]")) + groups
 
 
-def ring_count(token_array: Column) -> Column:
+def ring_count(outside: Column) -> Column:
     """Ring closures come in pairs of equal labels: a digit or %nn outside brackets."""
-    return F.floor(F.size(F.filter(token_array, lambda t: t.rlike("^(%[0-9]{2}|[0-9])$"))) / 2).cast("int")
+    closures = F.regexp_count(outside, F.lit("[0-9]")) - F.regexp_count(outside, F.lit("%[0-9]{2}"))
+    return F.floor(closures / 2).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from screenflow.functions.ordering import exact_quantiles
-from screenflow.functions.text import formal_charge, fragment_count, heavy_atom_count, ring_count, tokens
+from screenflow.functions.text import formal_charge, fragment_count, heavy_atom_count, outside_brackets, ring_count
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -183,18 +183,19 @@ def expect(
 
 def text_structure(df: DataFrame, text: str) -> DataFrame:
     """Fragments, net charge, heavy atoms and rings read off a line-notation text."""
+    whole, outside = F.col(text), F.col("_outside")
     return (
-        df.withColumn("_tokens", tokens(F.col(text)))
+        df.withColumn("_outside", outside_brackets(whole))
         .withColumns(
             {
-                "fragment_count": fragment_count(F.col("_tokens")),
-                "formal_charge": formal_charge(F.col("_tokens")),
-                "heavy_atom_count": heavy_atom_count(F.col("_tokens")),
-                "ring_count": ring_count(F.col("_tokens")),
+                "fragment_count": fragment_count(outside),
+                "formal_charge": formal_charge(whole),
+                "heavy_atom_count": heavy_atom_count(whole, outside),
+                "ring_count": ring_count(outside),
             }
         )
         .withColumn("multi_fragment", F.col("fragment_count") > 1)
-        .drop("_tokens")
+        .drop("_outside")
     )
 
 

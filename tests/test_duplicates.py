@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from screenflow.functions.text import BRACKET_CHARGE, TOKEN_PATTERN
 from screenflow.operators import duplicates as dup
 from screenflow.operators.quality import (
     ExpectationError,
@@ -169,3 +173,30 @@ def test_text_structure(spark):
             rings,
         ), text
         assert row.multi_fragment == (fragments > 1)
+
+
+def plain_structure(text):
+    """Counts over the tokens, one by one."""
+    found = re.findall(TOKEN_PATTERN, text)
+    groups = [t for t in found if len(t) > 1 and t[0] == "["]
+    charge = 0
+    for t in groups:
+        if m := re.search(BRACKET_CHARGE, t):
+            charge += (int(m[2]) if m[2] else len(m[1])) * (1 if m[1][0] == "+" else -1)
+    atoms = sum(bool(re.fullmatch("[A-Za-z]+", t)) and t != "H" for t in found) + sum(not re.match(r"\[[0-9]*H(?![a-z])", t) for t in groups)
+    closures = sum(bool(re.fullmatch("%[0-9]{2}|[0-9]", t)) for t in found)
+    return found.count(".") + 1, charge, atoms, closures // 2
+
+
+def test_text_structure_like_token_by_token_without_an_array_of_tokens(spark):
+    draw = random.Random(5)
+    bits = ["[", "]", "[Fe+2]", "[O-]", "[2H]", "[He]", "[N+:12]", "[a\n--]", "H", "B", "r", "Br", "Cl", "S", "i", "Si", "Se", "%", "%12", "1", "7", ".", "\n", "@@", "+", "-", ":", "é", "🙂", " "]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 25))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id int, text string")
+    found = text_structure(df, "text")
+    names = ["fragment_count", "formal_charge", "heavy_atom_count", "ring_count"]
+    rows = {r["id"]: tuple(r[n] for n in names) for r in found.collect()}
+    assert rows.pop(-1) == (None,) * 4
+    assert rows == {i: plain_structure(t) for i, t in enumerate(texts)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "@@" not in plan and plan.count("regexp_replace") == 2  # brackets are taken out once
