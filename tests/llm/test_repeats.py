@@ -115,3 +115,21 @@ def test_ranks_are_the_order_of_windows():
         ranks, strings = window_ranks(data, at, width), [data[i : i + width] for i in at]
         order = {s: k for k, s in enumerate(sorted(set(strings)))}
         assert ranks.tolist() == [order[s] for s in strings]
+
+
+def test_bytes_decide_not_words(spark):
+    """Passages of 51 words in two documents each: 400 bytes are removed, 399 are not, and a width of 399 finds both."""
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    filler = lambda: " ".join(word(6) for _ in range(80))
+    texts = []
+    for size in (399, 400):
+        for _ in range(10):
+            passage = " ".join([word(size - 350), *(word(6) for _ in range(50))])
+            texts += [f"{filler()}{mark}{passage}{mark}{filler()}" for mark in "|#"]
+    texts += [filler() for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in repeat_digest(docs).collect()}
+    assert [removed[i] for i in range(60)] == [0] * 20 + [400] * 20 + [0] * 20
+    found = {r["doc_id"]: len(r["repeats"]) for r in repeat_spans(docs, width=399).collect()}
+    assert [found[i] for i in range(60)] == [1] * 40 + [0] * 20
