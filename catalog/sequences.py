@@ -50,9 +50,9 @@ def padded(spark, sf) -> DataFrame:
 
 def decoded(spark, sf) -> DataFrame:
     vocabulary = _vocabulary(spark, sf)
-    encoded = sequences.encode(lines(spark, sf), "text", vocabulary, "doc_id", parts=parts(spark))
-    both = sequences.decode(encoded, "ids", vocabulary, "doc_id", parts=parts(spark))
-    both = sequences.decode(both, "ids", vocabulary, "doc_id", out="known_only", skip_unknown=True, parts=parts(spark))
+    encoded = sequences.encode(lines(spark, sf), "text", vocabulary, "doc_id", parts=parts(spark)).drop("text")
+    both = sequences.decode(encoded, "ids", vocabulary, "doc_id")  # dealt out by then
+    both = sequences.decode(both, "ids", vocabulary, "doc_id", out="known_only", skip_unknown=True)
     return both.select("doc_id", F.md5("decoded").alias("decoded"), F.md5("known_only").alias("known_only"))
 
 

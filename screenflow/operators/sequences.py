@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from screenflow.functions import text as tx
 from screenflow.functions.ordering import global_rank
 from screenflow.functions.skew import dealt_out, salted_join
-from screenflow.functions.tokenized import distinct_ids, distinct_tokens, small_batches, spelled, token_ids
+from screenflow.functions.tokenized import distinct_ids, distinct_tokens, small_batches, spelled, spelled_by, token_ids, token_ids_by
 from screenflow.operators.quality import describe
 from screenflow.session import materialize
 
+HELD_ENTRIES = 100_000  # of a vocabulary that every task holds
+
 
 def token_frequency(df: DataFrame, text: str, parts: int | None = None) -> DataFrame:
     """Count and share of every token. `parts`: see `dealt_out`."""
@@ -47,13 +49,23 @@ def encode(
 ) -> DataFrame:
     """Add BOS + token ids + EOS; tokens outside the vocabulary become UNK. `row_id` is unique.
 
-    Rows meet their part of the vocabulary as texts and are cut into tokens after that. `parts`: see
-    `dealt_out`.
+    A vocabulary of at most HELD_ENTRIES is sent to the tasks. With a larger one, rows meet their part of it as
+    texts and are cut into tokens after that. `parts`: see `dealt_out`.
     """
+    held = _held(vocabulary, "token", "id")
+    if held is not None:
+        return small_batches(dealt_out(df, parts)).withColumn(ids, token_ids_by(F.col(text), held))
     translated = _translate(df, distinct_tokens(F.col(text)), vocabulary.select("token", "id"), "token", "id", row_id, parts)
     return translated.withColumn(ids, token_ids(F.col(text), F.col("_map"))).drop("_map")
 
 
+def _held(table: DataFrame, source: str, target: str) -> dict | None:
+    """The table's entries, if they are few and every source has one."""
+    rows = table.select(source, target).where(F.col(source).isNotNull()).limit(HELD_ENTRIES + 1).collect()
+    found = {r[0]: r[1] for r in rows if r[1] is not None}
+    return found if len(found) == len(rows) <= HELD_ENTRIES else None
+
+
 def _translate(
     df: DataFrame, array: Column, table: DataFrame, source: str, target: str, row_id: str, parts: int | None = None
 ) -> DataFrame:
@@ -85,9 +97,12 @@ def decode(
 ) -> DataFrame:
     """Text of an id sequence: up to the first EOS, without PAD and BOS (and UNK on request).
 
-    `parts`: see `dealt_out`.
+    The vocabulary is sent or met as in `encode`. `parts`: see `dealt_out`.
     """
     skip = [tx.PAD_ID, tx.BOS_ID] + ([tx.UNK_ID] if skip_unknown else [])
+    held = _held(vocabulary, "id", "token")
+    if held is not None:
+        return small_batches(dealt_out(df, parts)).withColumn(out, spelled_by(F.col(ids), held, skip))
     translated = _translate(df, distinct_ids(F.col(ids)), vocabulary.select("id", "token"), "id", "token", row_id, parts)
     return translated.withColumn(out, spelled(F.col(ids), F.map_keys("_map"), F.map_values("_map"), skip)).drop("_map")
 

@@ -44,6 +44,34 @@ def test_counts_of_contexts(spark, texts, order, monkeypatch):
     assert len(found) == len(wanted) and {(r.half, tuple(r.context), r.next): r["count"] for r in found} == wanted
 
 
+def test_small_vocabularies_are_sent_and_large_ones_met(spark, texts, monkeypatch):
+    """Both ways give the same rows, and a small vocabulary takes no join and one deal of the rows."""
+    vocabulary = sequences.build_vocabulary(texts.where("id % 3 = 0"), "text")
+
+    def both():
+        coded = sequences.encode(texts, "text", vocabulary, "id", parts=3).drop("text")
+        return sequences.decode(sequences.decode(coded, "ids", vocabulary, "id"), "ids", vocabulary, "id", "known", skip_unknown=True)
+
+    sent = both()
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    monkeypatch.setattr(sequences, "HELD_ENTRIES", 3)
+    met = both()
+    assert "Join" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, sent.collect())) == sorted(map(str, met.collect()))
+
+
+def test_runs_beyond_the_alphabet_go_by_their_names(texts, monkeypatch):
+    held = [r.text for r in texts.where("text is not null").collect()]
+    found = []
+    for most in (200, 9):
+        monkeypatch.setattr(tokenized, "ALPHABET", most)
+        marks = tokenized.RunBits(256, 2)
+        found.append([marks.of(t).tolist() for t in held])
+        assert len(marks.names) == 9 or most == 200 and len(marks.names) > 9
+    assert found[0] == found[1]
+
+
 def test_ids_and_back(spark, texts):
     vocabulary = sequences.build_vocabulary(texts.where("id % 3 = 0"), "text")
     number = {r.token: r.id for r in vocabulary.collect()}
